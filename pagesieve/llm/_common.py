@@ -108,7 +108,7 @@ def write_file(path: str, chunks) -> int:
     fs, p = filesystem(path)
     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
     part, size = f"{p}.{uuid.uuid4().hex}.part", 0
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for c in chunks:
             out.write(c)
             size += len(c)
@@ -118,7 +118,7 @@ def write_file(path: str, chunks) -> int:
 
 def read_file(path: str) -> bytes:
     fs, p = filesystem(path)
-    with fs.open_input_stream(p) as f:
+    with fs.open_input_stream(p, compression=None) as f:
         return f.read()
 
 

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from pagesieve.llm.language_id import op9_language_id
+from pagesieve.llm.lm_scoring import OP3_SQL, op3_lm_scores
 from pagesieve.llm.token_counts import op7_token_counts
 from pagesieve.llm.token_files import op1_token_files
 from pagesieve.llm.toxicity import op2_toxicity
+from pagesieve.llm.warc import OP5_SQL, op5_warc_transactions
 
 
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_toxicity": op2_toxicity,
+        "op3_lm_scores": op3_lm_scores,
+        "op5_warc_transactions": op5_warc_transactions,
         "op7_token_counts": op7_token_counts,
         "op9_language_id": op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lm_scores": OP3_SQL, "op5_warc_transactions": OP5_SQL}
