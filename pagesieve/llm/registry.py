@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pagesieve.llm.decontamination import OP8_SQL, op8_decontamination
 from pagesieve.llm.language_id import op9_language_id
 from pagesieve.llm.lm_scoring import OP3_SQL, op3_lm_scores
+from pagesieve.llm.packing import op4_packing
 from pagesieve.llm.token_counts import op7_token_counts
 from pagesieve.llm.token_files import op1_token_files
 from pagesieve.llm.toxicity import op2_toxicity
@@ -15,11 +17,13 @@ def queries() -> dict:
         "op1_token_files": op1_token_files,
         "op2_toxicity": op2_toxicity,
         "op3_lm_scores": op3_lm_scores,
+        "op4_packing": op4_packing,
         "op5_warc_transactions": op5_warc_transactions,
         "op7_token_counts": op7_token_counts,
+        "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_scores": OP3_SQL, "op5_warc_transactions": OP5_SQL}
+    return {"op3_lm_scores": OP3_SQL, "op5_warc_transactions": OP5_SQL, "op8_decontamination": OP8_SQL}
