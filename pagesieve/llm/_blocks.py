@@ -79,7 +79,7 @@ class Block:
         return Block(int(get("block")), unpacked(get("doc_ids"), "<i8"), unpacked(get("no_id"), "u1").astype(bool), unpacked(get("ends"), "<i8"), unpacked(get("words"), "<u8"), unpacked(get("codes"), "<u4").astype(np.int64))
 
 
-def make_blocks(docs: DataFrame, name: str, params: BlockParams = BlockParams(), letters: bool = False) -> tuple[DataFrame, str]:
+def make_blocks(docs: DataFrame, name: str, params: BlockParams = BlockParams(), letters_and_digits: bool = False) -> tuple[DataFrame, str]:
     """Write the words of ``docs`` (doc_id, text) as blocks; returns the table and its path."""
     spark = tune(docs.sparkSession)
     size = params.block_words
@@ -89,9 +89,9 @@ def make_blocks(docs: DataFrame, name: str, params: BlockParams = BlockParams(),
         import xxhash
         from pyspark import TaskContext
 
-        from pagesieve.llm._words import letter_words, space_words
+        from pagesieve.llm._words import alnum_words, space_words
 
-        split = letter_words if letters else space_words
+        split = alnum_words if letters_and_digits else space_words
         seq, base = 0, TaskContext.get().partitionId() << 32
         known: dict[str, int] = {}
         held: list = []  # (doc ids, no id, words per document, codes)

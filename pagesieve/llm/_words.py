@@ -10,6 +10,11 @@ def letter_words(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return _split(texts, r"[^\p{L}]+", regex=True)
 
 
+def alnum_words(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As ``letter_words``, but words are runs of letters and digits."""
+    return _split(texts, r"[^\p{L}\p{N}]+", regex=True)
+
+
 def space_words(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """As ``letter_words``, but words are runs of anything but ASCII white space."""
     return _split(texts, None, regex=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagesieve.llm.decontamination import OP8_SQL, op8_decontamination
 from pagesieve.llm.language_id import op9_language_id
 from pagesieve.llm.lm_scoring import OP3_SQL, op3_lm_scores
+from pagesieve.llm.near_dedup import op10_near_duplicates
 from pagesieve.llm.packing import op4_packing
 from pagesieve.llm.token_counts import op7_token_counts
 from pagesieve.llm.token_files import op1_token_files
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_token_counts": op7_token_counts,
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
