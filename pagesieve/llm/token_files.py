@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from pagesieve.llm._common import bounded_sample, filesystem, new_path, partitions, read_file, small_steps, tune, write_file
 from pagesieve.llm.token_counts import load_tokenizer
 
+#: A Latin letter that stays one letter in normal form and in lower case, then an ASCII punctuation mark.
+LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-/:-@\\[-`{-~])"
 MAGIC, VERSION = b"PSTOKEN1", 1
 TRAILER = "<QQII32s8s"
 
@@ -52,7 +54,7 @@ class TokenFileParams:
     pieces: int = 8
     piece_bytes: int = 1_024
     #: distinct chunks whose ids a Python worker remembers
-    remembered: int = 200_000
+    remembered: int = 600_000
 
 
 def words_are_independent(tokenizer) -> bool:
@@ -73,12 +75,57 @@ def words_are_independent(tokenizer) -> bool:
 
 
 class Encoder:
-    """Ids of many texts: (ids of all texts, where each text's ids end)."""
+    """Ids of many texts: (ids of all texts, where each text's ids end).
+
+    For tokenizers whose words are independent, a space is put between a Latin letter and a following ASCII
+    punctuation mark (always a pre-token boundary of the patterns in question; white space is dropped), texts are cut into chunks
+    at ASCII white space, and each distinct chunk is encoded once. New chunks are encoded many at a time with a mark
+    between them. Texts that might hold an added token are encoded whole.
+    """
+
+    MARK = "~"
 
     def __init__(self, path: str, remembered: int):
-        self.tok, self.remembered, self.cache = load_tokenizer(path), remembered, {}
-        self.by_word = words_are_independent(self.tok)
+        self.tok, self.remembered = load_tokenizer(path), remembered
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        added = [t["content"] for t in json.loads(self.tok.to_str()).get("added_tokens", [])]
+        mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
+        self.by_word = words_are_independent(self.tok) and len(mark) == 1 and all(t.startswith("<|") for t in added)
+        self.lowers = any(x["type"] == "Lowercase" for x in (json.loads(self.tok.to_str()).get("normalizer") or {}).get("normalizers", []))
+        self.mark = mark[0] if len(mark) == 1 else -1
+        self.forget()
+
+    def forget(self):
+        self.at: dict[str, int] = {}
+        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, new: list[str]) -> None:
+        plain = [w for w in new if self.MARK not in w]
+        other = [w for w in new if self.MARK in w]
+        sizes, ids = [], []
+        groups = [plain[a : a + 100] for a in range(0, len(plain), 100)]
+        for a in range(0, len(groups), 50):
+            part = groups[a : a + 50]
+            for g, e in zip(part, self.tok.encode_batch_fast([f" {self.MARK} ".join(g) for g in part], add_special_tokens=False)):
+                x = np.array(e.ids, dtype=np.uint32)
+                cut = np.flatnonzero(x == self.mark)
+                if len(cut) != len(g) - 1:
+                    raise ValueError("a mark got lost between chunks")
+                sizes.append(np.diff(np.concatenate([[-1], cut, [len(x)]])) - 1)
+                ids.append(x[x != self.mark])
+        for w in other:
+            x = np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
+            sizes.append(np.array([len(x)]))
+            ids.append(x)
+        for w in (*plain, *other):
+            self.at[w] = len(self.at)
+        if sizes:
+            self.sizes = np.concatenate([self.sizes, *sizes])
+            self.ids = np.concatenate([self.ids, *ids])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
@@ -86,27 +133,41 @@ class Encoder:
 
         n = len(texts)
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if not self.by_word:
-            got = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return (np.concatenate(got) if got else np.zeros(0, np.uint32)), np.cumsum([len(x) for x in got])
-        lists = pc.ascii_split_whitespace(texts)
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.by_word and n else np.ones(n, bool)
+        if special.any():
+            got = [np.zeros(0, np.uint32)] * n
+            for i, x in zip(np.flatnonzero(special), self.whole(texts.filter(pa.array(special)).to_pylist())):
+                got[i] = x
+            if not special.all():
+                ids, ends = self(texts.filter(pa.array(~special)))
+                for i, a, e in zip(np.flatnonzero(~special), np.append(0, ends[:-1]), ends):
+                    got[i] = ids[a:e]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.cumsum([len(x) for x in got]).astype(np.int64)
+        spaced = pc.replace_substring_regex(texts, LETTER_MARK, r"\1 \2")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(spaced) if self.lowers else spaced)
         doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(lists).dictionary_encode()
         codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        if len(self.cache) > self.remembered:
-            self.cache.clear()
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        for a in range(0, len(new), 20_000):
-            for w, e in zip(new[a : a + 20_000], self.tok.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype=np.uint32)
-        parts = [cache[w] for w in words]
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        start = np.cumsum(sizes) - sizes
-        k = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        at = np.repeat(start[codes] - (np.cumsum(k) - k), k) + np.arange(k.sum()) if len(k) else np.zeros(0, np.int64)
-        return flat[at], np.cumsum(np.bincount(doc, weights=k, minlength=n).astype(np.int64)) if n else np.zeros(0, np.int64)
+        if len(self.at) > self.remembered:
+            self.forget()
+        self.learn([w for w in words if w not in self.at])
+        known = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        if not len(codes):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        at = known[codes]
+        k = self.sizes[at]
+        where = np.repeat(self.starts[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        return self.ids[where], np.cumsum(np.bincount(doc, weights=k, minlength=n).astype(np.int64))
+
+
+def encoder(path: str, remembered: int) -> Encoder:
+    """One encoder per Python worker: what it has learned serves the worker's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path, remembered)
+    return _ENCODERS[path]
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, p: TokenFileParams) -> bytes:
@@ -116,7 +177,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, p: TokenFileParams) -
     def pieces(batches):
         import pyarrow as pa
 
-        enc = Encoder(tokenizer_path, p.remembered)
+        enc = encoder(tokenizer_path, p.remembered)
         for b in small_steps(batches, ["text"]):
             ids, ends = enc(b.column(0))
             for a, e in zip(np.append(0, ends[:-1]), ends):
@@ -149,7 +210,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, params: To
         import zstandard
         from pyspark import TaskContext
 
-        enc = Encoder(tokenizer_path, params.remembered)
+        enc = encoder(tokenizer_path, params.remembered)
         zd = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         z = zstandard.ZstdCompressor(level=params.level, dict_data=zd, write_checksum=False)
         ids_of, present, sizes, counts = [], [], [], []
