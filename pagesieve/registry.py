@@ -1,11 +1,15 @@
-"""Queries of the engine's own operators, gathered from its modules."""
+"""Queries of the engine's own operators, gathered from its plan modules."""
 
 from __future__ import annotations
 
+from pagesieve.plans import pages
+
+MODULES = (pages,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
