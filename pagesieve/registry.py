@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagesieve.plans import pages
+from pagesieve.plans import events, pages
 
-MODULES = (pages,)
+MODULES = (pages, events)
 
 
 def queries() -> dict:
