@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagesieve.plans import events, pages
+from pagesieve.plans import events, graph, pages, streams, vectors
 
-MODULES = (pages, events)
+MODULES = (pages, events, graph, vectors, streams)
 
 
 def queries() -> dict:
