@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pagesieve.config import URL_SCHEMES
 
 #: Neither query, fragment, userinfo, port, white space, nor a dot or empty path segment: nothing but case can change.
-SIMPLE = r"^(?i:https?)://[^/?#@:\s\[\]]*[^/?#@:\s\[\].](?:/[^/?#\s.][^/?#\s]*)*/?$"
+SIMPLE = r"^(?i:https?)://(?!\.)[^/?#@:\s\[\]]*[^/?#@:\s\[\].](?:/[^/?#\s.][^/?#\s]*)*/?$"
 
 
 def netloc(url: Column) -> Column:

@@ -119,7 +119,7 @@ def graph_score(spark, d):
     return gr.graph_metrics(e, odd_scores(e), keeper("metrics"), 5).select("node", F.round("graph_score", 6).alias("graph_score"))
 
 
-@query("ego_neighborhoods", f"WITH {DENSE.replace('DISTINCT ', '')}, d AS (SELECT src, dst, count(*) AS weight FROM e GROUP BY 1, 2), s AS (SELECT node, CASE WHEN node % 7 = 0 OR node % 5 = 0 THEN 0.5 ELSE 0.1 END AS score FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), g AS (SELECT node, (SELECT count(*) FROM d WHERE src = node) AS od FROM s), c AS (SELECT s.node, s.score FROM s JOIN g USING (node) ORDER BY s.score DESC, od DESC, node LIMIT 5) SELECT c.node, CAST(c.score AS DOUBLE) AS score, string_agg(d.dst || ':' || d.weight || ':' || (b.src IS NOT NULL), ',' ORDER BY s.score DESC, d.dst) AS neighbors FROM c JOIN d ON d.src = c.node JOIN s ON s.node = d.dst LEFT JOIN d b ON b.src = d.dst AND b.dst = d.src GROUP BY 1, 2")
+@query("ego_neighborhoods", f"WITH {DENSE.replace('DISTINCT ', '')}, d AS (SELECT src, dst, count(*) AS weight FROM e GROUP BY 1, 2), s AS (SELECT node, CASE WHEN node % 7 = 0 OR node % 5 = 0 THEN 0.5 ELSE 0.1 END AS score FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), g AS (SELECT node, (SELECT count(*) FROM d WHERE src = node) AS od FROM s), c AS (SELECT s.node, s.score FROM s JOIN g USING (node) ORDER BY s.score DESC, od DESC, node LIMIT 5) SELECT c.node, CAST(c.score AS DOUBLE) AS score, coalesce(string_agg(d.dst || ':' || d.weight || ':' || (b.src IS NOT NULL), ',' ORDER BY s.score DESC, d.dst), '') AS neighbors FROM c LEFT JOIN d ON d.src = c.node LEFT JOIN s ON s.node = d.dst LEFT JOIN d b ON b.src = d.dst AND b.dst = d.src GROUP BY 1, 2")
 def ego_neighborhoods(spark, d):
     e = dense(spark, d)
     got = gr.neighborhoods(e, odd_scores(e).withColumn("graph_score", F.lit(0.0)), 5)

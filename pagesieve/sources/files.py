@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEEDS = "hosts array<struct<url:string, why:string>>"
 JOB = "struct<priority:double, `order`:bigint, host:string, url:string, depth:int, discovered_from:string, metadata:map<string,string>, available_at:double>"
@@ -101,7 +102,7 @@ def metrics_restored(df: DataFrame, defaults: dict) -> DataFrame:
 def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """Append allowed: pages (url, host) under robots (host, robots text); no or an unreadable text allows everything."""
     joined = pages.join(robots.select("host", "robots"), "host", "left")
-    schema = joined.schema.add("allowed", "boolean")
+    schema = T.StructType([*joined.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def judge(batches):
         from urllib.robotparser import RobotFileParser
