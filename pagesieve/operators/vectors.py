@@ -39,7 +39,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", bloc
     for i in range(passes):
         part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i)
         rows = part.where("embedding IS NOT NULL").select("vec_id", "embedding").collect()
-        ids, q = np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        ids, q = np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["embedding"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
         got = _pass(vectors, ids, q, k, metric)
         out = got if out is None else out.unionByName(got)
     order = F.col("value").asc() if metric == "l2" else F.col("value").desc()
