@@ -150,7 +150,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, params: Toxicit
     # The ids are at most max_positive longs: a proven bound, so they may be broadcast.
     p_rows = text.join(F.broadcast(positive), "doc_id", "left_semi").select("text", F.lit(1).alias("pos"))
     u_rows = bounded_sample(text, params.max_unlabelled, "doc_id").select("text", F.lit(0).alias("pos"))
-    sample = written(p_rows.unionByName(u_rows).repartition(max(8, min(64, partitions(spark))), F.xxhash64("text")), new_path(spark, "toxicity-sample"))
+    sample = written(p_rows.unionByName(u_rows).repartition(max(8, min(64, partitions(spark)))), new_path(spark, "toxicity-sample"))
 
     def count(batches):
         import pyarrow as pa
