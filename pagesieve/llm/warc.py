@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm._common import filesystem, new_path, small_steps, tune, write_file
+from pagesieve.llm._common import filesystem, new_path, small_steps, tune, write_file, written
 
 
 @dataclass(frozen=True)
@@ -209,9 +209,11 @@ def op5_warc_transactions(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = new_path(spark, "warc")
     names = write_archives(pages, out)
-    captures = assemble(read_archives(spark, out, names))
+    # Written once: the joins read it several times, and Spark sees its true size and doesn't broadcast it.
+    captures = assemble(written(read_archives(spark, out, names), new_path(spark, "warc-records")))
     field = lambda k: F.col("metadata.fields")[k].cast("long")
     flat = captures.select(field("page-id").alias("page_id"), "capture_id", F.coalesce("response.payload_bytes", field("payload-bytes")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to").alias("refers_to_id"))
+    flat = written(flat, new_path(spark, "warc-captures"))
     revisited = flat.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     first = revisited.join(flat.where("refers_to_id is not null").select("refers_to_id").distinct(), "refers_to_id", "left_semi").groupBy("refers_to_id").agg(F.max("refers_to").alias("refers_to"))
     return flat.join(first, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
