@@ -6,13 +6,14 @@ Everything is native but the exact fingerprint, which one Arrow call makes for t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.config import DANGER_CATEGORIES, ILLEGAL_KEYWORDS, RETRO_TAGS, SNIPPET_RETRO_TAGS, CascadeSettings, FusionSettings, PrefilterSettings
 from pagesieve.functions import text as tx
 from pagesieve.functions import urls as ur
 from pagesieve.functions.fingerprints import simhash64
+from pagesieve.storage import stored
 
 # --- features ----------------------------------------------------------------------------------
 
@@ -145,8 +146,9 @@ STAGES = ("head", "snippet", "structure", "keywords", "simhash", "classifier", "
 def cascade(pages: DataFrame, s: CascadeSettings = CascadeSettings(), pre: PrefilterSettings = PrefilterSettings(), content_type: str | None = None, content_length: str | None = None) -> DataFrame:
     """page_id, stage (where a page stopped, or null), reason, override, probability and stages (name:status of each).
 
-    Gates run from cheap to dear. The fingerprint stage sees only pages that reach it; of those with one fingerprint
-    the first by arrival goes on (its window holds page ids, no texts).
+    Gates run from cheap to dear. The fingerprint stage sees only the text of pages that reach it; of those with one
+    fingerprint the first by arrival goes on. The first is aggregated and joined back, so that a page that very many
+    repeat is no single task's work.
     """
     p = structure_metrics(pages, s)
     head = head_reason(s, F.col(content_type) if content_type else None, F.col(content_length) if content_length else None)
@@ -161,14 +163,12 @@ def cascade(pages: DataFrame, s: CascadeSettings = CascadeSettings(), pre: Prefi
     p = p.withColumn("r7", F.nullif(F.array_join(prefilter_reasons(pre, excerpt, words), ";"), F.lit("")))
     p = p.withColumn("r6", F.when(F.col("probability") < s.classifier_threshold, f"classifier<{s.classifier_threshold}"))
     early = F.coalesce("r1", "r2", "r3", "r4")
-    slim = ["page_id", "r1", "r2", "r3", "r4", "r6", "r7", "override", "probability"]
-    if s.simhash:
-        alive = p.where(early.isNull()).select(*slim, simhash64(F.col("snippet")).alias("fp"))
-        w = Window.partitionBy("fp").orderBy("page_id")
-        alive = alive.withColumn("r5", F.when(F.row_number().over(w) > 1, "simhash-duplicate"))
-        p = alive.unionByName(p.where(early.isNotNull()).select(*slim, F.lit(None).cast("long").alias("fp"), F.lit(None).cast("string").alias("r5")))
-    else:
-        p = p.select(*slim, F.lit(None).cast("long").alias("fp"), F.lit(None).cast("string").alias("r5"))
+    fp = simhash64(F.when(early.isNull(), F.col("snippet"))) if s.simhash else F.lit(None).cast("long")
+    slim = p.select("page_id", "r1", "r2", "r3", "r4", "r6", "r7", "override", "probability", fp.alias("fp"))
+    # Written once: what follows uses these few columns several times, and each page's text is handled only here.
+    slim = stored(slim.withColumn("fp", F.when(early.isNull(), F.col("fp"))), "cascade")
+    first = slim.where("fp IS NOT NULL").groupBy("fp").agg(F.min("page_id").alias("first"))
+    p = slim.join(first, "fp", "left").withColumn("r5", F.when(F.col("page_id") != F.col("first"), "simhash-duplicate"))
     reasons = [F.col(f"r{i + 1}") for i in range(7)]
     stopped = F.coalesce(*[F.when(r.isNotNull(), F.lit(i)) for i, r in enumerate(reasons)], F.lit(7))
     status = lambda i: F.when(stopped == i, "skip").when(F.lit(i == 2) & F.col("override").isNotNull(), "warn").otherwise("pass")
@@ -275,7 +275,8 @@ def outcomes(pages: DataFrame, s: CascadeSettings = CascadeSettings(), pre: Pref
     decided = cascade(scanned.where("NOT illegal"), s, pre)
     skipped = decided.where("stage IS NOT NULL").join(pages.select("page_id", "url"), "page_id").select("page_id", "url", F.lit("cascade").alias("outcome"), "reason", *blank(("score", "double")), F.lit("skip").alias("action"))
     alive = pages.join(decided.where("stage IS NULL").select("page_id"), "page_id", "left_semi")
-    post = with_illegal(scored(alive, graph, fusion), "text_excerpt")
+    post = with_illegal(scored(alive, graph, fusion), "text_excerpt").select("page_id", "url", "illegal", "illegal_reason", "reasons", "score", "action")
+    post = stored(post, "scored")
     late = post.where("illegal").select("page_id", "url", F.lit("illegal").alias("outcome"), F.col("illegal_reason").alias("reason"), *blank(("score", "double")), F.lit("skip").alias("action"))
     done = post.where("NOT illegal").select("page_id", "url", F.lit("scored").alias("outcome"), F.array_join("reasons", "; ").alias("reason"), "score", "action")
     return illegal.unionByName(skipped).unionByName(late).unionByName(done)

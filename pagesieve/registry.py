@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagesieve.plans import events, graph, pages, streams, vectors
+from pagesieve.plans import events, graph, pages, streams, triage, vectors
 
-MODULES = (pages, events, graph, vectors, streams)
+MODULES = (pages, events, graph, vectors, streams, triage)
 
 
 def queries() -> dict:
