@@ -96,3 +96,36 @@ def test_token_bucket_stream(spark, tmp_path):
     s = spark.readStream.schema("host string, at double, failed boolean").json(str(tmp_path))
     got = {r["at"]: r["granted"] for r in st.drained(st.token_buckets(s), "t_tokens").collect()}
     assert got == {0.0: True, 1.0: False, 10.0: True, 20.0: False, 60.0: True}
+
+
+def test_fetch_with_a_plugged_in_callable(spark):
+    from pagesieve.sources.fetch import fetched
+
+    def call(url):
+        if "bad" in url:
+            raise OSError("down")
+        return (404, {}, b"") if "gone" in url else (200, {"Content-Type": "text/html"}, b"<p>hi")
+
+    urls = spark.createDataFrame([("http://a/ok",), ("http://a/gone",), ("http://b/bad",)], "url string")
+    got = {r["url"]: r for r in fetched(urls, call, retries=1, wait=(0.0, 0.0), hosts_at_once=2).collect()}
+    assert (got["http://a/ok"]["status"], got["http://a/ok"]["bytes_downloaded"], got["http://a/ok"]["error"]) == (200, 5, None)
+    assert got["http://a/ok"]["headers"] == {"Content-Type": "text/html"} and len(got["http://a/ok"]["url_hash"]) == 64
+    assert got["http://a/gone"]["error"] == "status 404" and got["http://b/bad"]["error"] == "OSError: down" and got["http://b/bad"]["status"] is None
+
+
+def test_triage_with_an_analyst(spark):
+    from pagesieve.config import FusionSettings
+    from pagesieve.operators import pages as op
+    from pagesieve.operators import triage as tr
+
+    html = "<marquee>a</marquee><blink>b</blink><font>c</font>" + " word" * 900
+    p = spark.createDataFrame([(1, "http://a/", html), (2, "https://b/", "plain"), (3, "http://c/", html)], "page_id long, url string, html string")
+    decided = op.scored(p, s=FusionSettings())
+    answers = lambda ps: ['{"summary": "odd", "confidence": 2, "dangerous_content": {"present": true, "category": "violent", "notes": "calls"}}' if "http://a/" in x else "?" for x in ps]
+    got = {r["page_id"]: r for r in tr.triaged(decided, answers).withColumn("fault", tr.finding_fault()).collect()}
+    assert set(got) == {1, 3} and got[1]["summary"] == "odd" and got[1]["observation_ref"].startswith("observation:unknown:") and got[1]["fault"] == "confidence"
+    assert got[3]["summary"].startswith("a b c word") and len(got[3]["summary"]) <= 360 and got[3]["risk_tag"] == "harmless-retro"
+    crumbs = tr.crumbs_of(tr.triaged(decided, answers), decided.withColumn("fetched_at", F.lit(dt.datetime(2025, 1, 1)))).collect()
+    assert [(c["category"], c["reason"]) for c in crumbs] == [("violent", "calls")]
+    s = tr.with_summaries(p.select("url", F.col("html").alias("text_excerpt")).limit(1), lambda ps: ["x" * 900 for _ in ps]).first()
+    assert len(s["flash_summary"]) == 500
