@@ -196,12 +196,15 @@ def simhash_dedupe(spark, d):
 SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_filter(range(1, 65), lambda i: a.bits[i] <> b.bits[i])) AS INTEGER) AS distance FROM g a JOIN g b ON a.doc_id < b.doc_id
 WHERE len(list_filter(range(1, 65), lambda i: a.bits[i] <> b.bits[i])) <= 3""")
 def simhash_near_pairs(spark, d):
-    """Pairs of distinct fingerprints at a Hamming distance of at most 3, by the four 16-bit quarters (one must agree).
+    """Pairs of distinct fingerprints at a Hamming distance of at most 3.
 
-    Equal fingerprints are one row with their smallest id, so groups of copies aren't paired off.
+    Of five parts of a fingerprint at least two agree in such a pair, so each fingerprint is looked up by its ten pairs
+    of parts (25 or 26 bits). Equal fingerprints are one row with their smallest id: groups of copies aren't paired off.
     """
     p = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", fp.simhash64(F.col("text")).alias("fp")).where("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    q = p.select("doc_id", "fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * i).bitwiseAND(65535) for i in range(4)])).alias("k", "v"))
+    parts = [F.shiftrightunsigned("fp", 13 * i).bitwiseAND(8191) for i in range(5)]
+    keys = [F.shiftleft(parts[i], 13).bitwiseOR(parts[j]) for i in range(5) for j in range(i)]
+    q = p.select("doc_id", "fp", F.posexplode(F.array(*keys)).alias("k", "v"))
     a, b = q.alias("a"), q.alias("b")
     near = fp.hamming(F.col("a.fp"), F.col("b.fp"))
     return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (near <= 3)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), near.cast("int").alias("distance")).distinct()
