@@ -175,6 +175,11 @@ def corpus_counts(blocks: DataFrame, derive, n_keys: int, params: BlockParams =
     return asked.groupBy("bucket").applyInPandas(total, "block long, bucket int, totals binary")
 
 
+def exchanged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys as exchanges know them (their upper 52 bits, a quarter less to move), and each key's place among them."""
+    return np.unique(keys >> U64(12) << U64(12), return_inverse=True)
+
+
 def n_buckets(spark, n_keys: int, params: BlockParams) -> int:
     return int(max(params.spread * partitions(spark), -(-n_keys * 8 // params.bucket_bytes)))
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pagesieve.llm._blocks import Block, BlockParams, corpus_counts, make_blocks, mix, total_words, totals_of
+from pagesieve.llm._blocks import Block, BlockParams, corpus_counts, exchanged, make_blocks, mix, total_words, totals_of
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,8 @@ def score_documents(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame
         for index, hashes in grams(block, order):
             keys.append(hashes)
             counts.append(np.bincount(index[index >= 0], minlength=len(hashes)))
-        return np.concatenate(keys), np.concatenate(counts)
+        distinct, inv = exchanged(np.concatenate(keys))
+        return distinct, np.bincount(inv, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
 
     def score(key, left, right):
         import pandas as pd
@@ -69,7 +70,8 @@ def score_documents(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame
             block = Block.of(row)
             doc, n_docs = block.doc, len(block.ends)
             levels = grams(block, order)
-            totals = np.split(totals_of(np.concatenate([h for _, h in levels]), right), np.cumsum([len(h) for _, h in levels])[:-1])
+            distinct, inv = exchanged(np.concatenate([h for _, h in levels]))
+            totals = np.split(totals_of(distinct, right)[inv], np.cumsum([len(h) for _, h in levels])[:-1])
             rest = []  # counts of the n-gram at each word in all other documents
             for (index, hashes), total in zip(levels, totals):
                 ok = index >= 0
