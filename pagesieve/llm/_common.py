@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from functools import reduce
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.session import ship
+from pagesieve.storage import shared_root
 
 #: Rows in one Arrow batch. Texts can be long, so a batch must stay far below the default 10,000 rows.
 ARROW_ROWS = 500
@@ -27,20 +27,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, a laptop) a local folder takes its place.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='pagesieve-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
