@@ -3,7 +3,7 @@
 1. Texts become blocks of word codes (``_blocks``). Shingles are five consecutive words (letters and digits, lower
    case); a text of one to four words is one shingle.
 2. Document frequencies of all shingles of the corpus come from hash buckets and go back to the blocks. Weights are
-   ``tf * ln(1 + N / df)``.
+   ``tf * (1 + idf_share * ln(N / df) / ln N)``.
 3. Every document gets ``bands * rows`` samples by improved consistent weighted sampling (Ioffe 2010): two documents
    share a sample with the probability of their weighted Jaccard similarity. Samples are hashed into bands.
 4. Documents with equal shingle counts are one node (similarity 1), however many they are.
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm._blocks import U64, Block, BlockParams, corpus_counts, make_blocks, mix, packed, totals_of, unpacked
+from pagesieve.llm._blocks import U64, Block, BlockParams, corpus_counts, exchanged, make_blocks, mix, packed, totals_of, unpacked
 from pagesieve.llm._common import delete, new_path, release, small_steps, tune, written
 from pagesieve.operators.components import connected_components
 
@@ -43,6 +43,8 @@ class NearDedupParams:
     rows: int = 3
     #: rounds of candidates after the first
     more_rounds: int = 2
+    #: weight of the idf; with a full idf the few shingles that an edit makes outweigh the many that copies share
+    idf_share: float = 0.25
     seed: int = 1
     blocks: BlockParams = BlockParams()
 
@@ -74,9 +76,9 @@ def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d[first], key[first], np.diff(np.append(first, len(d)))
 
 
-def exchanged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys as the frequency exchange knows them (their upper 52 bits), and each key's place among them."""
-    return np.unique(keys >> U64(12) << U64(12), return_inverse=True)
+def weights(tf: np.ndarray, df: np.ndarray, n_docs: int, share: float) -> np.ndarray:
+    """TF-IDF with a damped idf: from 1 for a shingle of all documents to 1 + share for one of a single document."""
+    return tf * (1.0 + share * np.log(np.maximum(n_docs, 1) / df) / max(np.log(max(n_docs, 1)), 1e-9))
 
 
 def icws(doc_start: np.ndarray, key: np.ndarray, weight: np.ndarray, samples: int, seed: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def signatures(blocks: DataFrame, answers: DataFrame, n_docs: int, p: NearDedupP
             frame["doc_id"][block.no_id] = pd.NA
             if len(d):
                 distinct, inv = exchanged(k)
-                w = tf * np.log1p(n_docs / totals_of(distinct, right)[inv])
+                w = weights(tf, totals_of(distinct, right)[inv], n_docs, p.idf_share)
                 start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
                 s = icws(start, k, w, p.bands * p.rows, p.seed)
                 bands = np.zeros((len(start), p.bands), dtype=U64)
@@ -183,11 +185,11 @@ def vector_bytes(key: np.ndarray, tf: np.ndarray, df: np.ndarray) -> bytes:
     return np.array([len(x) for x in parts], dtype="<u4").tobytes() + b"".join(parts)
 
 
-def vector_of(b: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def vector_of(b: bytes, n_docs: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     n = np.frombuffer(b[:12], "<u4")
     at = 12 + np.append(0, np.cumsum(n.astype(np.int64)))
     key, tf, df = (unpacked(b[at[i] : at[i + 1]], kind) for i, kind in enumerate(("<u8", "<u4", "<u8")))
-    return np.cumsum(key, dtype=U64), tf * np.log1p(n_docs / df)
+    return np.cumsum(key, dtype=U64), weights(tf, df, n_docs, share)
 
 
 def weighted_jaccard(a: tuple, b: tuple) -> float:
@@ -209,8 +211,8 @@ def verify(pairs: DataFrame, vecs: DataFrame, n_docs: int, p: NearDedupParams) -
             known, out = {}, []
             for i, x, y in zip(a_ids, va, vb):
                 if i not in known:
-                    known = {i: vector_of(x, n_docs)}
-                out.append(weighted_jaccard(known[i], vector_of(y, n_docs)))
+                    known = {i: vector_of(x, n_docs, p.idf_share)}
+                out.append(weighted_jaccard(known[i], vector_of(y, n_docs, p.idf_share)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
     return both.select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long, similarity double").where(F.col("similarity") >= p.threshold)

@@ -61,7 +61,7 @@ def brute_classes(texts, threshold=0.8):
         w = re.findall(r"[^\W_]+", (t or "").lower())
         vec[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else {}
     df = collections.Counter(s for v in vec.values() for s in v)
-    wv = {i: {s: c * math.log1p(len(vec) / df[s]) for s, c in v.items()} for i, v in vec.items()}
+    wv = {i: {s: c * (1 + 0.25 * math.log(len(vec) / df[s]) / math.log(len(vec))) for s, c in v.items()} for i, v in vec.items()}
     parent = {i: i for i in texts}
 
     def find(i):
