@@ -76,7 +76,7 @@ class Block:
     @staticmethod
     def of(row) -> Block:
         get = row.get if isinstance(row, dict) else row.__getitem__
-        return Block(int(get("block")), unpacked(get("doc_ids"), "<i8"), unpacked(get("no_id"), "u1").astype(bool), unpacked(get("ends"), "<i8"), unpacked(get("words"), "<u8"), unpacked(get("codes"), "<u4").astype(np.int64))
+        return Block(int(get("block")), unpacked(get("doc_ids"), "<i8"), unpacked(get("no_id"), "u1").astype(bool), unpacked(get("ends"), "<i8"), np.cumsum(unpacked(get("words"), "<u8"), dtype=U64), unpacked(get("codes"), "<u4").astype(np.int64))
 
 
 def make_blocks(docs: DataFrame, name: str, params: BlockParams = BlockParams(), letters_and_digits: bool = False) -> tuple[DataFrame, str]:
@@ -86,52 +86,47 @@ def make_blocks(docs: DataFrame, name: str, params: BlockParams = BlockParams(),
 
     def pack(batches):
         import pyarrow as pa
-        import xxhash
         from pyspark import TaskContext
 
-        from pagesieve.llm._words import alnum_words, space_words
+        from pagesieve.llm._words import hashed_words
 
-        split = alnum_words if letters_and_digits else space_words
         seq, base = 0, TaskContext.get().partitionId() << 32
-        known: dict[str, int] = {}
-        held: list = []  # (doc ids, no id, words per document, codes)
-        table: dict[int, int] = {}
+        held: list = []  # (doc ids, no id, words per document, places of the words' hashes)
+        hashes: list = []
+        known = total = 0  # hashes and words held
 
         def flush():
-            nonlocal seq, held, table
-            ids, no_id, n, codes = (np.concatenate(x) for x in zip(*held))
-            row = [[base + seq], [len(ids)], [len(codes)], [packed(ids, "<i8")], [packed(no_id, "u1")], [packed(np.cumsum(n), "<i8")], [packed(np.fromiter(table, U64, len(table)), "<u8")], [packed(codes, "<u4")]]
-            seq, held, table = seq + 1, [], {}
+            nonlocal seq, held, hashes, known, total
+            ids, no_id, n, places = (np.concatenate(x) for x in zip(*held))
+            distinct, code = np.unique(np.concatenate(hashes), return_inverse=True)
+            codes = code[places]
+            used = np.zeros(len(distinct), dtype=bool)  # a step that spans two blocks brings words of both
+            used[codes] = True
+            codes = (np.cumsum(used) - 1)[codes]
+            row = [[base + seq], [len(ids)], [len(codes)], [packed(ids, "<i8")], [packed(no_id, "u1")], [packed(np.cumsum(n), "<i8")], [packed(np.diff(distinct[used], prepend=U64(0)), "<u8")], [packed(codes, "<u4")]]
+            seq, held, hashes, known, total = seq + 1, [], [], 0, 0
             types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-        total = 0
         for b in small_steps(batches, ["text"]):
-            doc, code, words = split(b.column(1))
-            if len(known) > 300_000:
-                known.clear()
-            hashes = []
-            for w in words:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh64_intdigest(w)
-                hashes.append(h)
+            doc, code, h = hashed_words(b.column(1), letters_and_digits)
             n = np.bincount(doc, minlength=b.num_rows)
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             no_id = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            ends, at, word_at = np.cumsum(n), 0, 0
+            ends, at, word_at, given = np.cumsum(n), 0, 0, False
             while at < b.num_rows:  # as many documents as fit into this block
                 stop = max(at + 1, int(np.searchsorted(ends, word_at + size - total, side="right")))
                 stop = min(stop, b.num_rows)
-                part = code[word_at : ends[stop - 1]]
-                used, inv = np.unique(part, return_inverse=True)
-                here = np.array([table.setdefault(hashes[c], len(table)) for c in used], dtype=np.int64)
-                held.append((ids[at:stop], no_id[at:stop], n[at:stop], here[inv] if len(part) else np.zeros(0, np.int64)))
-                total += len(part)
+                if not given:
+                    hashes.append(h)
+                    given, start = True, known
+                    known += len(h)
+                held.append((ids[at:stop], no_id[at:stop], n[at:stop], code[word_at : ends[stop - 1]] + start))
+                total += int(ends[stop - 1]) - word_at
                 at, word_at = stop, int(ends[stop - 1])
                 if total >= size or (at < b.num_rows and total + n[at] > size):
                     yield flush()
-                    total = 0
+                    given = False
         if held:
             yield flush()
 
