@@ -7,6 +7,9 @@ occurs in it only at its front, or it is white space only), and no added token h
 and after are those of the whole text. Where an overlap holds no such boundary it is doubled, at most up to the rest
 of the text; so the count is that of the library on the whole text in every case.
 
+Shorter texts are cut at the same boundaries, all of them, and each distinct piece is counted once per worker (for
+tokenizers of that kind; others encode whole texts).
+
 One Arrow pass without a shuffle; peak memory is a batch of texts and one chunk's tokens.
 
 Cases: a null text counts as empty (0 tokens, 0 bytes); null and repeated ids are kept row by row; an empty table gives
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +58,74 @@ def load_tokenizer(path: str):
 _LOADED: dict = {}
 
 
+#: A character that is no white space, then white space: the tokens before and after don't depend on each other.
+BOUNDARY = r"([^\s\p{Z}\x0b\x85\x1c-\x1f])([ \t\n\r])"
+CUT = "\x00"
+
+
+class PieceCounter:
+    """Token counts of texts from their distinct pieces, for byte-level tokenizers whose pre-tokens end at white space.
+
+    A text is cut at all stable boundaries; each distinct piece is given to the library once per worker. Pieces of one
+    space and other characters are encoded many at a time: each has exactly one token that begins with a space.
+    """
+
+    def __init__(self, tokenizer, remembered: int = 600_000):
+        import json
+
+        self.tok, self.remembered, self.known = tokenizer, remembered, {}
+        d = json.loads(tokenizer.to_str())
+        pre = d.get("pre_tokenizer") or {}
+        added = d.get("added_tokens", [])
+        self.fits = (
+            d.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space") and d.get("post_processor") is None
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
+        )
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        self.starts = np.zeros(max([*tokenizer.get_vocab(with_added_tokens=True).values(), 0]) + 1, dtype=bool)
+        self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+
+    def learn(self, new: list[str]) -> None:
+        simple = [w for w in new if w[0] == " " and not any(c.isspace() for c in w[1:]) and len(w) > 1 and "<|" not in w]
+        taken = set(simple)
+        other = [w for w in new if w not in taken]
+        groups = [simple[a : a + 200] for a in range(0, len(simple), 200)]
+        for a in range(0, len(groups), 50):
+            part = groups[a : a + 50]
+            for g, e in zip(part, self.tok.encode_batch_fast(["".join(g) for g in part], add_special_tokens=False)):
+                at = np.flatnonzero(self.starts[np.array(e.ids, dtype=np.int64)])
+                if len(at) != len(g):
+                    raise ValueError("a piece got lost between others")
+                self.known.update(zip(g, np.diff(np.append(at, len(e.ids))).tolist()))
+        for a in range(0, len(other), 10_000):
+            self.known.update(zip(other[a : a + 10_000], map(len, self.tok.encode_batch_fast(other[a : a + 10_000], add_special_tokens=False))))
+
+    def __call__(self, texts) -> np.ndarray:
+        """Counts of an Arrow array of texts without nulls and without the cutting character."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        lists = pc.split_pattern(pc.replace_substring_regex(texts.cast(pa.large_string()), BOUNDARY, "\\1" + CUT + "\\2"), CUT)
+        doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        codes, pieces = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        self.learn([w for w in pieces if w and w not in self.known])
+        n = np.fromiter((self.known[w] if w else 0 for w in pieces), dtype=np.int64, count=len(pieces))
+        return np.bincount(doc, n[codes], minlength=len(texts)).astype(np.int64)
+
+
+def piece_counter(path: str) -> PieceCounter:
+    """One counter per Python worker: what it has learned serves the worker's later tasks."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = PieceCounter(load_tokenizer(path))
+    return _COUNTERS[path]
+
+
+_COUNTERS: dict[str, PieceCounter] = {}
+
+
 def stable(text: str, at: int) -> bool:
     """A place that no pre-token spans: white space begins there."""
     return 0 < at < len(text) and text[at].isspace() and not text[at - 1].isspace()
@@ -94,27 +166,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, params: TokenCountParams
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        tok, texts = load_tokenizer(tokenizer_path), pc.fill_null(cols["text"], "").to_pylist()
-        n = [0] * len(texts)
+        filled = pc.fill_null(cols["text"], "")
+        n = np.zeros(len(filled), dtype=np.int64)
         if tokenizer_path.endswith(".model"):
-            n = [len(tok.encode(t)) for t in texts]
+            tok = load_tokenizer(tokenizer_path)
+            n[:] = [len(tok.encode(t)) for t in filled.to_pylist()]
         else:
-            short, size = [], 0
-            for i, t in enumerate(texts):
-                if len(t) > params.chunk_chars:
-                    n[i] = count_spliced(tok, t, params.chunk_chars, params.overlap_chars)
-                    continue
-                short.append(i)
-                size += len(t)
-                if size > 1_000_000 or i + 1 == len(texts):
-                    for k, e in zip(short, tok.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
-                        n[k] = len(e)
-                    short, size = [], 0
-            if short:
-                for k, e in zip(short, tok.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
-                    n[k] = len(e)
+            counter = piece_counter(tokenizer_path)
+            huge = pc.greater(pc.utf8_length(filled), params.chunk_chars).to_numpy(zero_copy_only=False)
+            whole = ~huge & (pc.match_substring(filled, CUT).to_numpy(zero_copy_only=False) if counter.fits else True)
+            plain = ~huge & ~whole
+            if plain.any():
+                n[plain] = counter(filled.filter(pa.array(plain)))
+            if whole.any():
+                n[whole] = [len(e) for e in counter.tok.encode_batch_fast(filled.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+            for i in np.flatnonzero(huge):
+                n[i] = count_spliced(counter.tok, filled[int(i)].as_py(), params.chunk_chars, params.overlap_chars)
         n_bytes = pc.fill_null(pc.binary_length(cols["text"]), 0).cast(pa.int64())
-        return [n_bytes, pa.array(n, pa.int64()), pa.array([k > params.limit for k in n], pa.bool_())]
+        return [n_bytes, pa.array(n, pa.int64()), pa.array(n > params.limit, pa.bool_())]
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     return with_columns_from_arrow(docs, fn, ["text"], fields, keep)

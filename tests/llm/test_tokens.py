@@ -64,6 +64,21 @@ def test_spliced_counts_equal_the_library():
         assert count_spliced(tok, t, rng.choice([20, 50, 100]), rng.choice([3, 10, 20])) == len(tok.encode(t, add_special_tokens=False).ids)
 
 
+def test_counts_from_pieces_equal_the_library():
+    import pyarrow as pa
+
+    from pagesieve.llm.token_counts import CUT, PieceCounter
+
+    rng, tok = random.Random(8), load_tokenizer(BYTE)
+    pieces = ["a", "B", "stra", " ", " ", "  ", "\n", "\r\n", "\t", "\v", "\f", "\x85", "\xa0", "\u2003", "\x1c", "'s", "é", "́", "<|endoftext|>", "<|endo", "7", "!!", "~", "字", "Ġ", "-", "don't", "\u200b"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    counter = PieceCounter(tok, 300)
+    assert counter.fits and not PieceCounter(load_tokenizer(WORD)).fits and not any(CUT in t for t in texts)
+    for a in range(0, len(texts), 500):
+        got = counter(pa.array(texts[a : a + 500]))
+        assert got.tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts[a : a + 500]]
+
+
 @pytest.mark.parametrize("path", [BYTE, PIECE])
 def test_counts(spark, odd_docs, path):
     p = TokenCountParams(chunk_chars=2000, overlap_chars=50)
