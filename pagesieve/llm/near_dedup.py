@@ -11,8 +11,11 @@
    aggregated, then joined back, so a band that a third of all documents share is a join whose hot side Spark splits,
    and candidates grow with the nodes, not with the square of a group.
 6. Candidates are verified by exact weighted Jaccard similarity >= 0.8. Where a band still holds several components,
-   further rounds compare one representative of each with other leaders, drawn by a hash.
-7. Components of the verified links are the classes; a class is named by its smallest doc_id.
+   further rounds compare one representative of each with other leaders, drawn by a hash. They only save work.
+7. Where a band then still holds several components, every pair of its nodes from different components is settled: dealt
+   in blocks against blocks, pairs without a common shingle in their rarest ones (prefix filter, which loses no pair of
+   the threshold) or of too different weight are out, all others are verified.
+8. Components of the verified links are the classes; a class is named by its smallest doc_id.
 
 Written tables (blocks, frequencies, signatures, vectors, pairs) are in the shared folder, and shuffle files of finished
 steps are released. Nothing of the corpus reaches the driver but counts.
@@ -43,6 +46,8 @@ class NearDedupParams:
     rows: int = 3
     #: rounds of candidates after the first
     more_rounds: int = 2
+    #: nodes (or so many times 4 KB of vectors) in one block of the last, complete step
+    block_nodes: int = 1000
     #: weight of the idf; with a full idf the few shingles that an edit makes outweigh the many that copies share
     idf_share: float = 0.25
     seed: int = 1
@@ -157,14 +162,14 @@ def signatures(blocks: DataFrame, answers: DataFrame, n_docs: int, p: NearDedupP
 
 
 def vectors(blocks: DataFrame, answers: DataFrame, wanted: DataFrame, n_docs: int, p: NearDedupParams) -> DataFrame:
-    """(node, vec) of the documents in ``wanted`` (node, block, place): packed shingles, counts and frequencies."""
-    places = wanted.groupBy("block").agg(F.collect_list(F.struct("node", "place")).alias("want"))  # bounded by the block
+    """(node, bands, vec, size) of the documents in ``wanted`` (node, block, place, bands): packed shingles, counts and frequencies."""
+    places = wanted.groupBy("block").agg(F.collect_list(F.struct("node", "place", "bands")).alias("want"))  # bounded by the block
     asked = blocks.join(places, "block")
 
     def pick(key, left, right):
         import pandas as pd
 
-        nodes, vecs = [], []
+        nodes, bands, vecs = [], [], []
         for _, row in left.iterrows():
             block = Block.of(row)
             d, k, tf = shingles(block, p.words)
@@ -174,10 +179,11 @@ def vectors(blocks: DataFrame, answers: DataFrame, wanted: DataFrame, n_docs: in
             for w in row["want"]:
                 a, b = at[w["place"]], at[w["place"] + 1]
                 nodes.append(w["node"])
+                bands.append(w["bands"])
                 vecs.append(vector_bytes(k[a:b], tf[a:b], df[a:b]))
-        return pd.DataFrame({"node": nodes, "vec": vecs})
+        return pd.DataFrame({"node": nodes, "bands": pd.Series(bands, dtype=object), "vec": pd.Series(vecs, dtype=object), "size": [len(x) for x in vecs]})
 
-    return asked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(pick, "node long, vec binary")
+    return asked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(pick, "node long, bands array<long>, vec binary, size int")
 
 
 def vector_bytes(key: np.ndarray, tf: np.ndarray, df: np.ndarray) -> bytes:
@@ -185,11 +191,16 @@ def vector_bytes(key: np.ndarray, tf: np.ndarray, df: np.ndarray) -> bytes:
     return np.array([len(x) for x in parts], dtype="<u4").tobytes() + b"".join(parts)
 
 
-def vector_of(b: bytes, n_docs: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+def parts_of(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.frombuffer(b[:12], "<u4")
     at = 12 + np.append(0, np.cumsum(n.astype(np.int64)))
     key, tf, df = (unpacked(b[at[i] : at[i + 1]], kind) for i, kind in enumerate(("<u8", "<u4", "<u8")))
-    return np.cumsum(key, dtype=U64), weights(tf, df, n_docs, share)
+    return np.cumsum(key, dtype=U64), tf, df
+
+
+def vector_of(b: bytes, n_docs: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    key, tf, df = parts_of(b)
+    return key, weights(tf, df, n_docs, share)
 
 
 def weighted_jaccard(a: tuple, b: tuple) -> float:
@@ -218,6 +229,72 @@ def verify(pairs: DataFrame, vecs: DataFrame, n_docs: int, p: NearDedupParams) -
     return both.select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long, similarity double").where(F.col("similarity") >= p.threshold)
 
 
+def rarest(key: np.ndarray, weight: np.ndarray, df: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles, without which less than ``threshold`` of the weight is left: similar vectors share one of them."""
+    order = np.lexsort((key, df))
+    left = np.cumsum(weight[order][::-1])[::-1]
+    return key[order[left >= threshold * left[0] * (1 - 1e-9)]]
+
+
+def block_links(key, pdf, n_docs: int, p: NearDedupParams):
+    """Links (a, b) between the rows of slot i and those of slot j of one band bucket, for pairs of different components.
+
+    A pair is settled in the first band that both share. Pairs that links found here already connect are not compared.
+    """
+    import pandas as pd
+
+    band, i, j = int(key[0]), int(key[2]), int(key[3])
+    pdf = pdf.sort_values("node")
+    node, bands = pdf["node"].to_numpy(), np.array(pdf["bands"].tolist(), dtype=np.int64)
+    label = np.unique(pdf["component"], return_inverse=True)[1]
+    vecs, prefixes = [], []
+    for b in pdf["vec"]:
+        k, tf, df = parts_of(b)
+        w = weights(tf, df, n_docs, p.idf_share)
+        vecs.append((k, w))
+        prefixes.append(rarest(k, w, df, p.threshold))
+    total = np.array([w.sum() for _, w in vecs])
+    left, right = (np.flatnonzero(pdf["slot"].to_numpy() == x) for x in (i, j))
+    found = []
+    if len(left) and len(right):
+        keys, of = np.concatenate([prefixes[x] for x in right]), np.repeat(right, [len(prefixes[x]) for x in right])
+        order = np.argsort(keys, kind="stable")
+        keys, of = keys[order], of[order]
+        for a in left:
+            lo, hi = np.searchsorted(keys, prefixes[a], "left"), np.searchsorted(keys, prefixes[a], "right")
+            other, common = np.unique(np.concatenate([of[x:y] for x, y in zip(lo, hi)]), return_counts=True)
+            ok = (label[other] != label[a]) & (np.minimum(total[other], total[a]) >= p.threshold * np.maximum(total[other], total[a]) * (1 - 1e-9)) & ((other > a) | (i != j))
+            other, common = other[ok], common[ok]
+            first = (bands[other] == bands[a]).argmax(axis=1) == band
+            for b in other[first][np.argsort(-common[first], kind="stable")]:
+                if label[a] != label[b] and weighted_jaccard(vecs[a], vecs[b]) >= p.threshold:
+                    found.append((min(node[a], node[b]), max(node[a], node[b])))
+                    label[label == label[b]] = label[a]
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def remaining(there: DataFrame, vecs: DataFrame, n_docs: int, p: NearDedupParams) -> DataFrame:
+    """All links (a, b) that are missing between components of a band bucket; ``there`` has node, band, h, component.
+
+    The largest component of a bucket is dealt in blocks only against blocks of the others, never against itself.
+    """
+    sized = there.join(vecs.select("node", (1 + F.col("size") / 4096).alias("size")), "node")
+    per = sized.groupBy("band", "h", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    slots = lambda c: F.ceil(c / p.block_nodes).cast("int")
+    most = F.max(F.struct("size", "component"))
+    # of three nodes or fewer each pair has had the smallest or the largest in it
+    open_ = per.groupBy("band", "h").agg(most.alias("most"), F.sum("size").alias("all"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND n > 3")
+    open_ = open_.select("band", "h", F.col("most.component").alias("big"), slots(F.col("all") - F.col("most.size")).alias("few"), slots(F.col("most.size")).alias("many"))
+    rows = there.join(open_, ["band", "h"])
+    draw = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    rows = rows.withColumn("slot", F.when(F.col("component") == F.col("big"), F.col("few") + draw("many")).otherwise(draw("few")))
+    others = F.when(F.col("slot") < F.col("few"), F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
+    rows = rows.select("band", "h", "node", "component", "slot", F.explode(others).alias("other"))
+    rows = rows.select("band", "h", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "node", "component", "slot")
+    dealt = rows.join(vecs.drop("size"), "node")
+    return dealt.groupBy("band", "h", "i", "j").applyInPandas(lambda key, pdf: block_links(key, pdf, n_docs, p), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text); class_id is the smallest doc_id of its class."""
     spark, p = tune(docs.sparkSession), params
@@ -246,7 +323,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     banded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     leaders = banded.groupBy("band", "h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = store(banded.join(leaders, ["band", "h"]), "shared")
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "block", "place")
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "block", "place", "bands")
     vecs = store(vectors(blocks, answers, wanted, n_docs, p), "vectors")
     release(spark)
     star = shared.select(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")).union(shared.select(F.least("node", "hi"), F.greatest("node", "hi"))).where("a <> b").distinct()
@@ -254,8 +331,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     same_id = signed.where("doc_id IS NOT NULL AND c1 IS NOT NULL").select("doc_id", "c1", "c2").join(nodes.select("c1", "c2", "node"), ["c1", "c2"])
     same_id = store(same_id.select("doc_id", "node"), "members")
     for k in range(p.more_rounds):
-        label = components(store, links, f"r{k}")
-        there = shared.select("node", "band", "h").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        there = with_components(shared, components(store, links, f"r{k}"))
         reps = there.groupBy("band", "h", "component").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("node"))
         drawn = reps.groupBy("band", "h").agg(F.min_by("node", F.xxhash64("node", F.lit(1000 + k))).alias("lead"), F.count("*").alias("n")).where("n > 1")
         pairs = reps.join(drawn, ["band", "h"]).where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
@@ -264,6 +340,11 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
+    else:
+        there = with_components(shared, components(store, links, "all"))
+    there = store(there, "open")
+    links = links.select("a", "b").unionByName(store(remaining(there, vecs, n_docs, p), "rest"))
+    release(spark)
     # documents of equal content hang on their node; rows with equal doc_id hang together
     edges = links.select("a", "b").unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
     final = store(components(store, edges, "end"), "classes")
@@ -274,6 +355,10 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     return out
 
 
+def with_components(shared: DataFrame, label: DataFrame) -> DataFrame:
+    return shared.select("node", "band", "h").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def components(store, links: DataFrame, name: str) -> DataFrame:
     return connected_components(links, lambda df, k: store(df, f"components-{name}-{k}"), "a", "b")
 

@@ -97,6 +97,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+@pytest.mark.parametrize("block_nodes", [1000, 40])
+def test_pairs_inside_a_template_are_all_found(spark, block_nodes):
+    """Documents of a long template are just under the threshold; some pairs of them, far from every leader, are over it."""
+    template, tails = sentences(1, 5, 100, 5000)[0], sentences(160, 6, 12, 5000)
+    texts = {i: f"{template} {t}" for i, t in enumerate(tails)}
+    for i in range(0, 120, 2):
+        texts[i + 1] = f"{template} {' '.join(tails[i].split()[:4] + tails[i + 1].split()[4:])}"
+    want = brute_classes(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, NearDedupParams(block_nodes=block_nodes)).collect()}
+    assert len(set(want.values())) == 100
+    assert got == want
+
+
 def test_near_duplicate_edges(spark, odd_docs, no_docs):
     rows = near_duplicates(odd_docs, NearDedupParams(blocks=SMALL)).collect()
     got = collections.defaultdict(set)
