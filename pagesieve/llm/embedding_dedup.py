@@ -12,6 +12,8 @@
    ends share; links leave a shard as counts and a local component's smallest node, never as pairs.
 6. Recall is audited against brute force for a bounded sample of nodes against all nodes; below ``min_recall`` the
    overlap is widened and the search repeated.
+7. Where ``attempts`` searches stay below it, the links are found exactly: a node meets each cluster whose cell its range
+   can touch (angle to the centroid at most the range plus the cell's radius), clusters being dealt in blocks.
 
 Cases: a vector that is null, empty, zero or holds null or non-finite components, and a row without vec_id, links with
 nothing; vectors of different dimensions never link (routing pads them); rows with equal vec_id and vector are copies;
@@ -45,6 +47,8 @@ class EmbeddingParams:
     audit: int = 500
     min_recall: float = 0.98
     attempts: int = 3
+    #: vectors in one block of the exact search
+    block_rows: int = 8000
 
 
 def unit(rows, dim: int | None = None) -> np.ndarray:
@@ -280,6 +284,8 @@ def similar_vectors(vectors: DataFrame, params: EmbeddingParams = EmbeddingParam
             if recall >= p.min_recall or p.overlap >= len(centroids):
                 break
             p = replace(p, overlap=p.overlap * 2)
+        if recall < p.min_recall:
+            counted = store(exact_search(nodes, centroids, dim, p, store), "exact")
         links = counted.groupBy("node").agg(F.sum("links").alias("links"))
         parts = connected_components(counted.where("node <> root").select("node", "root").distinct(), lambda df, k: store(df, f"parts{k}"), "node", "root")
         known = nodes.select("k1", "k2", "node", "copies").join(links, "node", "left").join(parts, "node", "left")
@@ -315,6 +321,82 @@ def search(nodes: DataFrame, centroids: np.ndarray, dim: int, p: EmbeddingParams
     return members.join(united, "node").groupBy("shard").applyInPandas(lambda key, pdf: search_shard(key, pdf, p), "node long, links long, root long")
 
 
+def exact_search(nodes: DataFrame, centroids: np.ndarray, dim: int, p: EmbeddingParams, store) -> DataFrame:
+    """(node, links, root) of all links, each found in the one pair of blocks that its ends are in."""
+    spark, c = nodes.sparkSession, unit(centroids)
+    odd = len(c)  # the cluster of vectors of another dimension: padding or cutting would change their angles
+    shared = spark.sparkContext.broadcast(c)
+
+    def angles(vs, c):
+        return np.arccos(np.clip(unit(vs) @ c.T, -1, 1))
+
+    def home(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            vs = b.column(0).to_pylist()
+            cluster, away = np.full(len(vs), odd, np.int32), np.zeros(len(vs))
+            at = np.array([i for i, v in enumerate(vs) if len(v) == dim], dtype=np.int64)
+            if len(at):
+                far = angles([vs[i] for i in at], shared.value)
+                cluster[at], away[at] = far.argmin(axis=1), far.min(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(cluster), pa.array(away)], names=["node", "copies", "embedding", "cluster", "away"])
+
+    homes = store(nodes.select("embedding", "node", "copies").mapInArrow(home, "node long, copies long, embedding array<double>, cluster int, away double"), "homes")
+    blocks, radius = np.zeros(odd + 1, np.int64), np.zeros(odd + 1)
+    for r in homes.groupBy("cluster").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():  # one row a cluster
+        blocks[r["cluster"]], radius[r["cluster"]] = -(-r["n"] // p.block_rows), r["radius"]
+    start = np.cumsum(blocks) - blocks
+    reach = float(np.arccos(p.threshold)) + 1e-6
+    layout = spark.sparkContext.broadcast((blocks, start, radius))
+
+    def meet(batches):
+        import pyarrow as pa
+
+        blocks, start, radius = layout.value
+        slots = lambda ks: np.concatenate([np.arange(start[k], start[k] + blocks[k]) for k in ks])
+        for b in batches:
+            cluster, vs = b.column(2).to_numpy(), b.column(1).to_pylist()
+            own = start[cluster] + b.column(3).to_numpy() % blocks[cluster]
+            to = [slots([odd])] * len(vs)
+            at = np.flatnonzero(cluster != odd)
+            if len(at):
+                near = angles([vs[i] for i in at], shared.value) <= reach + radius[:odd]
+                for i, row in zip(at, near):
+                    to[i] = slots(np.flatnonzero(row))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int64()), pa.array([x.tolist() for x in to], pa.list_(pa.int64()))], names=["node", "own", "others"])
+
+    draw = F.xxhash64("node").bitwiseAND((1 << 30) - 1).alias("draw")
+    met = homes.select("node", "embedding", "cluster", draw).mapInArrow(meet, "node long, own long, others array<long>")
+    met = met.select("node", "own", F.explode("others").alias("other")).select("node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = met.join(homes.select("node", "copies", "embedding"), "node")
+    return dealt.groupBy("i", "j").applyInPandas(lambda key, pdf: compare_blocks(key, pdf, p), "node long, links long, root long")
+
+
+def compare_blocks(key, pdf, p: EmbeddingParams):
+    """(node, links, root) of the links between block i and block j, for nodes that have any."""
+    import pandas as pd
+
+    out = [pd.DataFrame({"node": [], "links": [], "root": []}, dtype="int64")]
+    for g in by_dimension(pdf.sort_values("node")):
+        ids, copies, own = g["node"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
+        m = unit(g["embedding"].tolist())
+        left, right = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a in range(0, len(left), 256):
+            rows = left[a : a + 256]
+            hit = (m[rows] @ m[right].T >= p.threshold) & (rows[:, None] != right[None, :])
+            links[rows] += hit @ copies[right]
+            if key[0] != key[1]:
+                links[right] += copies[rows] @ hit
+            x, y = np.nonzero(hit)
+            if len(x):  # earlier links are in the labels
+                label = local_components(len(ids), np.concatenate([np.arange(len(ids)), rows[x]]), np.concatenate([label, right[y]]))
+        some = links > 0
+        out.append(pd.DataFrame({"node": ids[some], "links": links[some], "root": ids[label][some]}))
+    return pd.concat(out)
+
+
 def audit(nodes: DataFrame, counted: DataFrame, queries: list, p: EmbeddingParams) -> float:
     """Share of the links of ``queries`` (a bounded sample) that were found, against brute force over all nodes."""
     by_dim: dict[int, list] = {}

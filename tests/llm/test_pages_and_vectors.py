@@ -91,6 +91,29 @@ def test_embeddings_equal_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("more", [{}, {"block_rows": 50}])
+def test_links_are_whole_when_routing_misses_them(spark, more):
+    """A dense group of distinct vectors over many clusters; also vectors of another dimension, and copies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 16))
+    x[:400] = x[0] + 0.17 * rng.normal(size=(400, 16))
+    x[450:455] = x[5]
+    y = rng.normal(size=8) + 0.1 * rng.normal(size=(30, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *y])], "vec_id long, embedding array<double>")
+    p = EmbeddingParams(shard_rows=20, overlap=1, attempts=1, candidates=8, **more)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in similar_vectors(df, p).collect()}
+    want = {}
+    for at, m in ((0, x), (700, y)):
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+        link = u @ u.T >= 0.95
+        np.fill_diagonal(link, False)
+        label = np.arange(len(m))
+        for _ in range(len(m)):
+            label = np.minimum(label, np.where(link, label[None, :], len(m)).min(axis=1))
+        want |= {at + i: (int(link[i].sum()), at + int(label[i])) for i in range(len(m))}
+    assert got == want
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [0.0, 1e-30]), (12, [0.0, 3.0]), (None, [1.0, 0.0]), (13, [-1.0, 0.0])]
