@@ -75,11 +75,14 @@ def canonical_udf(urls):
 
 @F.pandas_udf(T.StringType())
 def join_udf(base, href):
+    """Targets of hrefs as they are written in HTML: character references are resolved first."""
+    from html import unescape
+
     import pandas as pd
 
     def one(b, h):
         try:
-            return None if h is None else urljoin(b or "", h)
+            return None if h is None else urljoin(unescape(b or ""), unescape(h))
         except ValueError:
             return None
 

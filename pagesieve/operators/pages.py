@@ -41,15 +41,20 @@ def with_features(pages: DataFrame, excerpt_chars: int = 500) -> DataFrame:
 def page_links(pages: DataFrame, exact: bool = False) -> DataFrame:
     """One row per distinct target of a page: page_id, pos, url, target, anchor_text, rel, webring; the first mention stays.
 
-    Relative targets are resolved against ``<base href>`` or the page. ``exact`` makes every target canonical by the
-    Arrow call; otherwise root-relative and absolute targets, which need none, are resolved natively.
+    Relative targets are resolved against ``<base href>`` or the page. ``exact`` reads hrefs of every quoting, also of
+    anchors that aren't closed, and makes every target canonical by the Arrow call; otherwise only double-quoted
+    root-relative and absolute targets, which need none, are resolved natively.
     """
-    anchor = r"(?is)<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a\s*>"
+    value = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    anchor = rf"(?is)<a(?=\s)[^>]*?(?<![\w-])href\s*=\s*{value}[^>]*>(.*?)(?=</a\s*>|<a\s|\z)" if exact else r"(?is)<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a\s*>"
+    either = lambda c, pattern: F.concat(*[F.regexp_extract(c, pattern, k) for k in (1, 2, 3)])
     whole = F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), tx.COMMENT, ""), F.lit(anchor), F.lit(0))
-    base = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<base\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)
+    html = F.coalesce("html", F.lit(""))
+    base = either(html, rf"(?is)<base(?=\s)[^>]*?(?<![\w-])href\s*=\s*{value}") if exact else F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)
     rows = pages.select("page_id", "url", F.when(base != "", base).otherwise(F.col("url")).alias("base"), F.posexplode(whole).alias("pos", "a"))
-    rel = F.regexp_extract("a", r"(?is)<a\b[^>]*\brel\s*=\s*\"([^\"]*)\"", 1)
-    rows = rows.select("page_id", "url", "base", "pos", F.trim(F.regexp_extract("a", anchor, 1)).alias("href"), F.substring(tx.html_text(F.regexp_extract("a", anchor, 2)), 1, 160).alias("anchor_text"), F.array_sort(F.array_distinct(F.filter(F.split(rel, r"\s+"), lambda x: x != ""))).alias("rel"))
+    rel = either("a", rf"(?is)<a(?=\s)[^>]*?(?<![\w-])rel\s*=\s*{value}") if exact else F.regexp_extract("a", r"(?is)<a\b[^>]*\brel\s*=\s*\"([^\"]*)\"", 1)
+    href = either("a", anchor) if exact else F.regexp_extract("a", anchor, 1)
+    rows = rows.select("page_id", "url", "base", "pos", F.trim(href).alias("href"), F.substring(tx.html_text(F.regexp_extract("a", anchor, 4 if exact else 2)), 1, 160).alias("anchor_text"), F.array_sort(F.array_distinct(F.filter(F.split(rel, r"\s+"), lambda x: x != ""))).alias("rel"))
     rows = rows.where((F.col("href") != "") & ~F.startswith("href", F.lit("#")))
     if exact:
         rows = ur.with_canonical(rows.withColumn("joined", ur.join_udf(F.col("base"), F.col("href"))), "joined", "target").drop("joined", "target_reason")

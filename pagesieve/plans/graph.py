@@ -34,7 +34,7 @@ def dense(spark, d):
 
 
 def linked(spark, d):
-    return op.page_links(table(spark, d, "pages")).select(F.col("url").alias("src"), F.col("target").alias("dst")).where("src <> dst")
+    return op.page_links(table(spark, d, "pages"), exact=True).select(F.col("url").alias("src"), F.col("target").alias("dst")).where("src <> dst")
 
 
 SEEN = "s AS (SELECT l_suppkey AS src, l_partkey % 120 AS dst, l_shipdate AS at_, l_returnflag AS t, l_linestatus AS r FROM lineitem WHERE l_suppkey <> l_partkey % 120)"

@@ -91,7 +91,7 @@ def node_merge(spark, d):
 def crawl_outcomes_with_graph(spark, d):
     """The whole course with the link graph: first scores feed the neighbours' ratio, then all metrics feed the final score."""
     pages = table(spark, d, "pages")
-    links = stored(op.page_links(pages), "crawl-links")
+    links = stored(op.page_links(pages, exact=True), "crawl-links")
     edges = links.where("url <> target").select(F.col("url").alias("src"), F.col("target").alias("dst"))
     first = op.scored(pages).groupBy(F.col("url").alias("node")).agg(F.max("score").alias("last_score"))
     metrics = gr.graph_metrics(edges, first, keeper("crawl"), 10)

@@ -39,6 +39,18 @@ def test_features_and_reasons(spark):
     assert r[1]["token_count"] == 0 and r[1]["action"] == "persist" and r[1]["score"] == 0.5
 
 
+def test_queries_follow_links_of_every_spelling(spark, tmp_path):
+    from pagesieve import registry
+
+    html = """<a href="next.html">n</a><a href='../up'>u</a><a href=?q=1>q</a><a href="//h.test/p">p</a><a href="HTTP://B.test:80/x?b=1&amp;a=2#f">b</a><a data-href="no" href='/c'>c</a><a href="#f">f</a><a href=last>open"""
+    pages(spark, page(html, "http://a.test/d/e/f")).write.parquet(str(tmp_path / "pages.parquet"))
+    want = {"http://a.test/d/e/next.html", "http://a.test/d/up", "http://a.test/d/e/f?q=1", "http://h.test/p", "http://b.test/x?a=2&b=1", "http://a.test/c", "http://a.test/d/e/last"}
+    queries = registry.queries()
+    assert {r["target"] for r in queries["page_links"](spark, str(tmp_path)).collect()} == want
+    assert queries["outbound_counts"](spark, str(tmp_path)).first()["outbound_count"] == 7
+    assert queries["link_components"](spark, str(tmp_path)).count() == 8
+
+
 def test_links(spark):
     p = pages(spark, page(RETRO), page('<base href="http://c.test/d/"><a href="e?b=1&a=2">E</a>', i=2), page("", i=3), page(None, i=4))
     got = {(r["page_id"], r["target"]): r for r in op.page_links(p).collect()}
