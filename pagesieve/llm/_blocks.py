@@ -6,9 +6,11 @@ word of text, and where each document ends. Blocks are written once and are the
 ``corpus_counts`` answers, for keys that a function derives from each block (n-grams, shingles), how often each occurs
 in the corpus: every block sends its distinct keys with their counts to the hash bucket of the key, the bucket sums
 them, and the sums go back to the blocks. A key appears once per block in the exchange however frequent it is, so no
-key is hot; a bucket holds about ``bucket_bytes`` of keys, since their number grows with the corpus. The number of
-rows is blocks times buckets at most; for very large corpora raise ``block_words`` and ``bucket_bytes`` together with
-the executors' memory.
+key is hot; a bucket holds about ``bucket_bytes`` of keys. All 64 bits of a key travel.
+
+Rows of the exchange grow in proportion to the corpus: a block deals its keys to so few buckets that a row holds about
+``row_keys`` of them. Where the corpus needs more buckets than that, rows of one bucket are merged in bounded chunks
+(which sums what they share), and each chunk asks the buckets of the next level as a block does, and so on.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ U64 = np.uint64
 class BlockParams:
     block_words: int = 500_000
     bucket_bytes: int = 24_000_000
+    #: keys in a row of an exchange, about
+    row_keys: int = 256
     #: buckets per shuffle partition at least, so that buckets spread evenly over tasks
     spread: int = 4
 
@@ -134,45 +138,79 @@ def make_blocks(docs: DataFrame, name: str, params: BlockParams = BlockParams(),
     return written(docs.select("doc_id", "text").mapInArrow(pack, BLOCKS), path), path
 
 
-def corpus_counts(blocks: DataFrame, derive, n_keys: int, params: BlockParams = BlockParams()) -> DataFrame:
-    """Corpus-wide counts of keys: rows (block, bucket, counts) aligned with ``keys_by_bucket`` of the block.
+ASKED = "bucket long, block long, keys binary, counts binary"
+
 
-    ``derive(block) -> (keys, counts)`` gives a block's distinct keys and their counts in it; ``n_keys`` is a bound of
-    all blocks' keys together.
+def corpus_counts(blocks: DataFrame, derive, n_keys: int, store, params: BlockParams = BlockParams()) -> DataFrame:
+    """Corpus-wide counts of keys: rows (block, bucket, totals) aligned with the block's keys in order.
+
+    ``derive(block row) -> (keys, counts)`` gives a block's distinct keys and their counts in it; ``n_keys`` is a bound
+    of all blocks' keys together; ``store(df, name)`` writes a table that is read twice.
     """
-    spark = blocks.sparkSession
-    n = n_buckets(spark, n_keys, params)
+    return _counted(blocks, derive, n_keys, n_buckets(blocks.sparkSession, n_keys, params), max(2, params.block_words // params.row_keys), store, params, 0)
+
+
+def _counted(blocks, derive, n_keys: int, n: int, reach: int, store, params: BlockParams, level: int) -> DataFrame:
+    """``n`` buckets are wanted; a block of this level can deal its keys to ``reach`` of them."""
+    at_once = min(n, reach)
 
     def ask(batches):
         import pyarrow as pa
 
         for b in batches:
             for row in b.to_pylist():
-                block = Block.of(row)
-                keys, counts = derive(block)
-                order, at = by_bucket(keys, n)
+                keys, counts = derive(row)
+                order, at = by_bucket(keys, at_once)
                 keys, counts = keys[order], counts[order]
                 some = np.flatnonzero(np.diff(at))
                 for part in np.array_split(some, max(1, len(some) // 256)):
                     if len(part):
-                        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([block.block] * len(part), pa.int64()), pa.array([packed(np.diff(keys[at[k] : at[k + 1]], prepend=U64(0)), "<u8") for k in part], pa.binary()), pa.array([packed(counts[at[k] : at[k + 1]], "<u4") for k in part], pa.binary())], names=["bucket", "block", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([row["block"]] * len(part), pa.int64()), pa.array([packed(np.diff(keys[at[k] : at[k + 1]], prepend=U64(0)), "<u8") for k in part], pa.binary()), pa.array([packed(counts[at[k] : at[k + 1]], "<i8") for k in part], pa.binary())], names=["bucket", "block", "keys", "counts"])
+
+    def merge(pdf):
+        """Distinct keys of some rows, their summed counts, and for each row the places of its keys among them."""
+        keys = [np.cumsum(unpacked(k, "<u8"), dtype=U64) for k in pdf["keys"]]
+        ends = np.cumsum([len(k) for k in keys])
+        distinct, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(inv, np.concatenate([unpacked(c, "<i8") for c in pdf["counts"]]).astype(float), minlength=len(distinct)).astype(np.int64)
+        return distinct, sums, np.split(inv, ends[:-1])
+
+    def answer(pdf, totals, places):
+        import pandas as pd
+
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": [packed(totals[i], "<i8") for i in places]})
 
     def total(key, pdf):
+        _, sums, places = merge(pdf)
+        return answer(pdf, sums, places)
+
+    answers = "block long, bucket long, totals binary"
+    asked = blocks.mapInArrow(ask, ASKED)
+    if at_once == n:
+        return asked.groupBy("bucket").applyInPandas(total, answers)
+
+    # more buckets are wanted than a block deals to: chunks of each bucket are the blocks of the next level
+    chunks = int(max(1, -(-n_keys * 8 // (at_once * params.bucket_bytes))))
+    asked = store(asked.withColumn("chunk", F.col("bucket") * chunks + F.pmod(F.xxhash64("block"), F.lit(chunks))), f"asked{level}")
+
+    def gather(key, pdf):
         import pandas as pd
 
-        keys = [np.cumsum(unpacked(k, "<u8"), dtype=U64) for k in pdf["keys"]]
-        ends = np.cumsum([len(k) for k in keys])
-        _, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inv, np.concatenate([unpacked(c, "<u4") for c in pdf["counts"]]).astype(float))[inv].astype(np.int64)
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": [packed(s, "<i8") for s in np.split(sums, ends[:-1])]})
+        distinct, sums, _ = merge(pdf)
+        return pd.DataFrame({"block": [key[0]], "keys": [packed(np.diff(distinct, prepend=U64(0)), "<u8")], "counts": [packed(sums, "<i8")]})
 
-    asked = blocks.mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
-    return asked.groupBy("bucket").applyInPandas(total, "block long, bucket int, totals binary")
+    def again(row):
+        return np.cumsum(unpacked(row["keys"], "<u8"), dtype=U64), unpacked(row["counts"], "<i8")
 
+    def give_back(key, left, right):
+        if not len(left):
+            return answer(left, None, [])
+        distinct, _, places = merge(left)
+        return answer(left, totals_of(distinct, right), places)
 
-def exchanged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys as exchanges know them (their upper 52 bits, a quarter less to move), and each key's place among them."""
-    return np.unique(keys >> U64(12) << U64(12), return_inverse=True)
+    merged = store(asked.groupBy("chunk").applyInPandas(gather, "block long, keys binary, counts binary"), f"merged{level}")
+    found = _counted(merged, again, n_keys, n, at_once * max(2, params.block_words // params.row_keys), store, params, level + 1)
+    return asked.groupBy("chunk").cogroup(found.withColumnRenamed("block", "chunk").groupBy("chunk")).applyInPandas(give_back, answers)
 
 
 def n_buckets(spark, n_keys: int, params: BlockParams) -> int:

@@ -21,15 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pagesieve.llm._blocks import Block, BlockParams, corpus_counts, exchanged, make_blocks, mix, total_words, totals_of
+from pagesieve.llm._blocks import Block, BlockParams, corpus_counts, make_blocks, mix, total_words, totals_of
+from pagesieve.llm._common import delete, new_path, release, union_all, written
 
 
 @dataclass(frozen=True)
 class LmParams:
-    order: int = 2
+    order: int = 3
     backoff: float = 0.4
-    blocks: BlockParams = BlockParams()
+    blocks: BlockParams = BlockParams(block_words=1_000_000)
 
 
 def grams(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -50,17 +52,24 @@ def grams(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def score_documents(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score, n_backed_off and n_unseen of every row of ``docs`` (doc_id, text)."""
-    blocks, _ = make_blocks(docs, "lm-blocks", params.blocks)
+    spark, paths = docs.sparkSession, []
+
+    def store(df, name):
+        paths.append(new_path(spark, f"lm-{name}"))
+        return written(df, paths[-1])
+
+    blocks, path = make_blocks(docs, "lm-blocks", params.blocks)
+    paths.append(path)
     n_words = total_words(blocks)
     order, backoff = params.order, params.backoff
 
-    def derive(block):
-        keys, counts = [], []
-        for index, hashes in grams(block, order):
-            keys.append(hashes)
-            counts.append(np.bincount(index[index >= 0], minlength=len(hashes)))
-        distinct, inv = exchanged(np.concatenate(keys))
-        return distinct, np.bincount(inv, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    def derive(k):
+        def keys(row):
+            index, hashes = grams(Block.of(row), k)[-1]
+            by_hash, inv = np.unique(hashes, return_inverse=True)
+            return by_hash, np.bincount(inv[index[index >= 0]], minlength=len(by_hash))
+
+        return keys
 
     def score(key, left, right):
         import pandas as pd
@@ -70,8 +79,10 @@ def score_documents(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame
             block = Block.of(row)
             doc, n_docs = block.doc, len(block.ends)
             levels = grams(block, order)
-            distinct, inv = exchanged(np.concatenate([h for _, h in levels]))
-            totals = np.split(totals_of(distinct, right)[inv], np.cumsum([len(h) for _, h in levels])[:-1])
+            totals = []
+            for k, (_, hashes) in enumerate(levels, 1):
+                by_hash, inv = np.unique(hashes, return_inverse=True)
+                totals.append(totals_of(by_hash, right[right["size"] == k])[inv])
             rest = []  # counts of the n-gram at each word in all other documents
             for (index, hashes), total in zip(levels, totals):
                 ok = index >= 0
@@ -107,13 +118,19 @@ def score_documents(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame
         schema = ["doc_id", "n_words", "log_score", "mean_log_score", "n_backed_off", "n_unseen"]
         return pd.concat(out) if out else pd.DataFrame(columns=schema)
 
-    counts = corpus_counts(blocks, derive, order * n_words, params.blocks)
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(score, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long, n_unseen long")
+    # one order after the other, so that shuffle files of one order are held at a time
+    counts = []
+    for k in range(1, order + 1):
+        counts.append(store(corpus_counts(blocks, derive(k), n_words, store, params.blocks).withColumn("size", F.lit(k)), f"counts{k}"))
+        release(spark)
+    scored = blocks.groupBy("block").cogroup(union_all(counts).groupBy("block")).applyInPandas(score, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long, n_unseen long")
+    out = store(scored, "scores")
+    release(spark)
+    delete(spark, *paths[:-1])
+    return out
 
 
 def op3_lm_scores(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     got = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"), "n_backed_off", "n_unseen")
 
@@ -121,21 +138,29 @@ def op3_lm_scores(spark, sf_dir):
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
-b AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS u FROM t),
+b AS (SELECT r, i, w, lag(w) OVER k AS v, lag(w, 2) OVER k AS u FROM t WINDOW k AS (PARTITION BY r ORDER BY i)),
 total AS (SELECT count(*) AS n FROM t),
-c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-o1 AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w),
-c2 AS (SELECT u, w, count(*) AS c FROM b WHERE u IS NOT NULL GROUP BY u, w),
-o2 AS (SELECT r, u, w, count(*) AS c FROM b WHERE u IS NOT NULL GROUP BY r, u, w),
+g AS (
+  SELECT r, i, 1 AS size, [w] AS gram FROM b
+  UNION ALL SELECT r, i, 2, [v, w] FROM b WHERE v IS NOT NULL
+  UNION ALL SELECT r, i, 3, [u, v, w] FROM b WHERE u IS NOT NULL),
+own AS (SELECT r, gram, count(*) AS c FROM g GROUP BY r, gram),
+everywhere AS (SELECT gram, sum(c) AS c FROM own GROUP BY gram),
+rest AS (SELECT g.r, g.i, g.size, everywhere.c - own.c AS c FROM g JOIN own USING (r, gram) JOIN everywhere USING (gram)),
 s AS (
-  SELECT b.r, b.u IS NOT NULL AS has, c1.c - o1.c AS cw, cu.c - ou.c AS cu, c2.c - o2.c AS cuw, total.n - len(d.ws) AS n
+  SELECT b.r, b.i, total.n - len(d.ws) AS n, c1.c AS c1, c2.c AS c2, c3.c AS c3, p1.c AS p1, p2.c AS p2
   FROM b JOIN d USING (r) CROSS JOIN total
-  JOIN c1 ON c1.w = b.w JOIN o1 ON o1.r = b.r AND o1.w = b.w
-  LEFT JOIN c1 cu ON cu.w = b.u LEFT JOIN o1 ou ON ou.r = b.r AND ou.w = b.u
-  LEFT JOIN c2 ON c2.u = b.u AND c2.w = b.w LEFT JOIN o2 ON o2.r = b.r AND o2.u = b.u AND o2.w = b.w),
+  JOIN rest c1 ON c1.r = b.r AND c1.i = b.i AND c1.size = 1
+  LEFT JOIN rest c2 ON c2.r = b.r AND c2.i = b.i AND c2.size = 2
+  LEFT JOIN rest c3 ON c3.r = b.r AND c3.i = b.i AND c3.size = 3
+  LEFT JOIN rest p1 ON p1.r = b.r AND p1.i = b.i - 1 AND p1.size = 1
+  LEFT JOIN rest p2 ON p2.r = b.r AND p2.i = b.i - 1 AND p2.size = 2),
 l AS (
-  SELECT r, has AND cuw <= 0 AS backed, cw <= 0 AS unseen,
-    CASE WHEN has AND cuw > 0 THEN ln(cuw / cu) ELSE (CASE WHEN has THEN ln(0.4) ELSE 0 END) + CASE WHEN cw > 0 THEN ln(cw / n) ELSE -ln(n + 1.0) END END AS x
+  SELECT r, c3 IS NOT NULL AND c3 <= 0 AS backed, c1 <= 0 AS unseen,
+    CASE WHEN c3 > 0 THEN ln(c3 / p2)
+      ELSE (CASE WHEN c3 IS NULL THEN 0 ELSE ln(0.4) END) +
+        CASE WHEN c2 > 0 THEN ln(c2 / p1)
+          ELSE (CASE WHEN c2 IS NULL THEN 0 ELSE ln(0.4) END) + CASE WHEN c1 > 0 THEN ln(c1 / n) ELSE -ln(n + 1.0) END END END AS x
   FROM s)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(coalesce(sum(x), 0), 4) AS log_score,
   round(CASE WHEN len(d.ws) > 0 THEN sum(x) / len(d.ws) END, 6) AS mean_log_score,

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm._blocks import U64, Block, BlockParams, corpus_counts, exchanged, make_blocks, mix, packed, totals_of, unpacked
+from pagesieve.llm._blocks import U64, Block, BlockParams, corpus_counts, make_blocks, mix, packed, totals_of, unpacked
 from pagesieve.llm._common import delete, new_path, release, small_steps, tune, written
 from pagesieve.operators.components import connected_components
 
@@ -137,7 +137,7 @@ def signatures(blocks: DataFrame, answers: DataFrame, n_docs: int, p: NearDedupP
             frame = {"doc_id": pd.array(block.doc_ids, dtype="Int64"), "block": np.full(n, block.block), "place": np.arange(n, dtype=np.int32), "c1": pd.array(np.zeros(n, np.int64), dtype="Int64"), "c2": pd.array(np.zeros(n, np.int64), dtype="Int64"), "bands": [None] * n}
             frame["doc_id"][block.no_id] = pd.NA
             if len(d):
-                distinct, inv = exchanged(k)
+                distinct, inv = np.unique(k, return_inverse=True)
                 w = weights(tf, totals_of(distinct, right)[inv], n_docs, p.idf_share)
                 start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
                 s = icws(start, k, w, p.bands * p.rows, p.seed)
@@ -173,7 +173,7 @@ def vectors(blocks: DataFrame, answers: DataFrame, wanted: DataFrame, n_docs: in
         for _, row in left.iterrows():
             block = Block.of(row)
             d, k, tf = shingles(block, p.words)
-            distinct, inv = exchanged(k)
+            distinct, inv = np.unique(k, return_inverse=True)
             df = totals_of(distinct, right)[inv]
             at = np.searchsorted(d, np.arange(len(block.ends) + 1))
             for w in row["want"]:
@@ -308,12 +308,11 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     paths.append(path)
     n_docs, n_words = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
 
-    def derive(block):
-        _, k, _ = shingles(block, p.words)
-        distinct, inv = exchanged(k)
-        return distinct, np.bincount(inv, minlength=len(distinct))
+    def derive(row):
+        _, k, _ = shingles(Block.of(row), p.words)
+        return np.unique(k, return_counts=True)
 
-    answers = store(corpus_counts(blocks, derive, n_words, p.blocks), "answers")
+    answers = store(corpus_counts(blocks, derive, n_words, store, p.blocks), "answers")
     release(spark)
     signed = store(signatures(blocks, answers, n_docs, p), "signatures")
     release(spark)
@@ -346,7 +345,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     links = links.select("a", "b").unionByName(store(remaining(there, vecs, n_docs, p), "rest"))
     release(spark)
     # documents of equal content hang on their node; rows with equal doc_id hang together
-    edges = links.select("a", "b").unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    edges = links.select("a", "b").unionByName(same_id.select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")).where("a <> b").distinct())
     final = store(components(store, edges, "end"), "classes")
     got = signed.select("doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = store(got.select("doc_id", F.coalesce("component", "doc_id").alias("class_id")), "result")
@@ -360,7 +359,19 @@ def with_components(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def components(store, links: DataFrame, name: str) -> DataFrame:
-    return connected_components(links, lambda df, k: store(df, f"components-{name}-{k}"), "a", "b")
+    """(node, component) of the nodes in ``links`` (a, b), a < b.
+
+    A forest of one link a node is contracted first; of the other links those between its trees are left.
+    """
+    settle = lambda e, step: connected_components(e, lambda df, k: store(df, f"components-{name}-{step}-{k}"), "a", "b")
+    trees = settle(links.groupBy("b").agg(F.min("a").alias("a")), "forest")
+    of = lambda end: trees.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    between = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    between = store(between, f"between-{name}")
+    if not between.limit(1).count():
+        return trees
+    roots = settle(between, "trees").withColumnRenamed("component", "root")
+    return trees.join(roots.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
 def op10_near_duplicates(spark, sf_dir):

@@ -8,20 +8,21 @@ import pytest
 from pagesieve.llm._blocks import Block, BlockParams, make_blocks
 from pagesieve.llm.decontamination import OP8_SQL, DecontaminationParams, needed_hits, op8_decontamination, search_containment
 from pagesieve.llm.lm_scoring import OP3_SQL, LmParams, op3_lm_scores, score_documents
-from pagesieve.llm.near_dedup import NearDedupParams, icws, near_duplicates, weighted_jaccard
+from pagesieve.llm.near_dedup import NearDedupParams, icws, near_duplicates, op10_near_duplicates, weighted_jaccard
 from pagesieve.llm.packing import PackingParams, best_boundaries, pack_documents
 from tests.conftest import SF
 from tests.llm.conftest import sentences
 from tests.oracle import same
 
-SMALL = BlockParams(block_words=300, bucket_bytes=4000)
+#: small enough for several blocks, buckets and levels of the exchange
+SMALL = BlockParams(block_words=300, bucket_bytes=4000, row_keys=100)
 
 
 def test_lm_equals_sql(spark):
     same(spark, SF, op3_lm_scores, OP3_SQL)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm_equals_brute_force(spark, order):
     texts = sentences(12, 3, 30, 25) + ["", None, "x", "x x x"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -69,11 +70,12 @@ def brute_classes(texts, threshold=0.8):
             i = parent[i]
         return i
 
-    ids = sorted(texts)
+    ids, total = sorted(texts), {i: sum(v.values()) for i, v in wv.items()}
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
-            both = sum(min(wv[a][s], wv[b][s]) for s in wv[a].keys() & wv[b].keys())
-            if both and both / (sum(wv[a].values()) + sum(wv[b].values()) - both) >= threshold:
+            common = wv[a].keys() & wv[b].keys()
+            both = sum(min(wv[a][s], wv[b][s]) for s in common) if common else 0
+            if both and both / (total[a] + total[b] - both) >= threshold:
                 i, j = sorted((find(a), find(b)))
                 parent[j] = i
     return {i: find(i) for i in texts}
@@ -111,6 +113,19 @@ def test_pairs_inside_a_template_are_all_found(spark, block_nodes):
     assert got == want
 
 
+def test_near_duplicate_query_equals_brute_force(spark):
+    """The whole query on its whole table: recall of linked pairs is reported by the assertion, and must be 1."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in op10_near_duplicates(spark, SF).collect()}
+    want = brute_classes(docs)
+    classes = collections.defaultdict(list)
+    for i, c in want.items():
+        classes[c].append(i)
+    pairs = [(c, i) for c, members in classes.items() for i in members if i != c]
+    assert len(pairs) > 20 and sum(got[a] == got[b] for a, b in pairs) / len(pairs) == 1.0
+    assert got == want
+
+
 def test_near_duplicate_edges(spark, odd_docs, no_docs):
     rows = near_duplicates(odd_docs, NearDedupParams(blocks=SMALL)).collect()
     got = collections.defaultdict(set)
