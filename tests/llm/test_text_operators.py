@@ -113,10 +113,10 @@ def test_pairs_inside_a_template_are_all_found(spark, block_nodes):
     assert got == want
 
 
-def test_near_duplicate_query_equals_brute_force(spark):
+def test_near_duplicate_query_equals_brute_force(spark, sf="/root/testdata/sf0.01"):
     """The whole query on its whole table: recall of linked pairs is reported by the assertion, and must be 1."""
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r["doc_id"]: r["class_id"] for r in op10_near_duplicates(spark, SF).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in op10_near_duplicates(spark, sf).collect()}
     want = brute_classes(docs)
     classes = collections.defaultdict(list)
     for i, c in want.items():
