@@ -8,13 +8,17 @@ an item at the threshold is missed with a probability of at most ``miss``. Candi
 containment, on the words themselves.
 
 The search is one scan of the documents: each shingle is hashed and looked up in the sketches; only hits are shuffled
-(partially counted before). Sketches are broadcast only if they have at most ``broadcast_rows`` rows, which is counted
-first; beyond that Spark joins by shuffle. Only candidates' texts are read again. A passage that a third of the
-documents holds gives one pair per document and item, dealt by document.
+(partially counted before), and candidate pairs are written. A second scan picks the candidates' texts. Sketches, item
+shingles and candidate ids are broadcast only if they have at most ``broadcast_rows`` rows, which is counted first;
+beyond that Spark joins by shuffle. A passage that a third of the documents holds gives one pair per document and item,
+dealt by document.
+
+An item of one to four words is one shingle of its own length, and documents are cut into shingles of the lengths that
+items have. A row's shingles are made of shifted views of its words, five numbers a word at a time, however long it is.
 
 Cases: rows with equal doc_id are one document (null is an id of its own), as are benchmark rows with equal item_id;
-items with fewer than ``words`` words have no shingle and match nothing, likewise null and empty texts; an empty table
-on either side gives an empty result; extra columns are not read.
+null and empty texts, and those without a word, match nothing; ties at the threshold count; an empty table on either
+side gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.llm._common import new_path, union_all, written
+
 
 @dataclass(frozen=True)
 class DecontaminationParams:
@@ -51,24 +57,32 @@ def needed_hits(k: int, p: DecontaminationParams) -> int:
     return max(1, m)
 
 
-def shingle_columns(df: DataFrame, keys: list[str], p: DecontaminationParams, words: str) -> DataFrame:
-    """One row per shingle of the array column ``words``: the keys and w0, w1, ... ."""
-    n = F.size(words)
-    shifted = [F.col(words) if i == 0 else F.slice(words, F.lit(i + 1), F.greatest(n - i, F.lit(0))) for i in range(p.words)]
-    long = df.where(n >= p.words).select(*keys, F.explode(F.slice(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)]), F.lit(1), n - (p.words - 1))).alias("s"))
-    fields = long.schema["s"].dataType.names
-    return long.select(*keys, *[F.col(f"s.`{f}`").alias(f"w{i}") for i, f in enumerate(fields)])
+def shingle_columns(df: DataFrame, keys: list[str], p: DecontaminationParams, words: str, sizes: list[int]) -> DataFrame:
+    """One row per shingle of each of ``sizes`` of the array column ``words``: the keys and w0, w1, ... (null beyond its size)."""
+    n, parts = F.size(words), []
+    for k in sizes:
+        shifted = [F.col(words) if i == 0 else F.slice(words, F.lit(i + 1), F.greatest(n - i, F.lit(0))) for i in range(k)]
+        long = df.where(n >= k).select(*keys, F.explode(F.slice(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)]), F.lit(1), n - (k - 1))).alias("s"))
+        fields, kind = long.schema["s"].dataType.names, df.schema[words].dataType.elementType
+        parts.append(long.select(*keys, *[F.col(f"s.`{f}`").alias(f"w{i}") for i, f in enumerate(fields)], *[F.lit(None).cast(kind).alias(f"w{i}") for i in range(k, p.words)]))
+    return union_all(parts)
 
 
-def hashed_shingles(df: DataFrame, key: str, p: DecontaminationParams) -> DataFrame:
+def hashed_shingles(df: DataFrame, key: str, p: DecontaminationParams, sizes: list[int]) -> DataFrame:
     """(key, h) of every shingle of the column text."""
     coded = df.select(key, F.transform(words_of(), lambda w: F.xxhash64(w)).alias("words"))
-    return shingle_columns(coded, [key], p, "words").select(key, F.xxhash64(*[f"w{i}" for i in range(p.words)]).alias("h"))
+    return shingle_columns(coded, [key], p, "words", sizes).select(key, F.xxhash64(*[f"w{i}" for i in range(p.words)]).alias("h"))
+
+
+def of_items(benchmark: DataFrame, p: DecontaminationParams, sizes: list[int], cut) -> DataFrame:
+    """``cut(rows, sizes)`` of the items: those of fewer than ``words`` words as one shingle of their length."""
+    n = F.size(words_of())
+    return union_all([cut(benchmark.where(n >= p.words if k == p.words else n == k), [k]) for k in sizes])
 
 
-def sketches(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
+def sketches(benchmark: DataFrame, p: DecontaminationParams, sizes: list[int]) -> DataFrame:
     """(item_id, h, size_class, needed): the sketch members of each item under its class's rule."""
-    each = hashed_shingles(benchmark, "item_id", p).distinct()
+    each = of_items(benchmark, p, sizes, lambda rows, k: hashed_shingles(rows, "item_id", p, k)).distinct()
     sized = each.groupBy("item_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))  # an item is short
     k = F.least(F.size("hs"), F.lit(p.sketch))
     needed = F.lit(1)
@@ -80,24 +94,25 @@ def sketches(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
 
 def search_containment(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of each pair with containment >= threshold."""
-    p = params
+    p, spark = params, docs.sparkSession
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
-    sketch = sketches(benchmark, p)
-    n_sketch = sketch.count()
-    small = F.broadcast if n_sketch <= p.broadcast_rows else (lambda df: df)
-    hits = hashed_shingles(docs, "doc_id", p).join(small(sketch), "h").groupBy("doc_id", "item_id", "size_class", "needed").agg(F.count_distinct("h").alias("hits"))
-    candidates = hits.where("hits >= needed").select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"))
+    sizes = sorted(r[0] for r in benchmark.select(F.least(F.size(words_of()), F.lit(p.words))).distinct().collect() if r[0] > 0) or [p.words]  # words at most
+    small = lambda df, n: F.broadcast(df) if n <= p.broadcast_rows else df
+    sketch = sketches(benchmark, p, sizes)
+    hits = hashed_shingles(docs, "doc_id", p, sizes).join(small(sketch, sketch.count()), "h").groupBy("doc_id", "item_id", "size_class", "needed").agg(F.count_distinct("h").alias("hits"))
+    candidates = written(hits.where("hits >= needed").select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item")), new_path(spark, "leak-candidates"))
     # verification, on words
-    item_words = shingle_columns(benchmark.select("item_id", words_of().alias("words")), ["item_id"], p, "words").distinct()
-    sizes = item_words.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    among = docs.join(candidates.select("c_doc").distinct(), F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi")
-    doc_words = shingle_columns(among.select("doc_id", words_of().alias("words")), ["doc_id"], p, "words")
-    n_items = sizes.agg(F.sum("n_shingles")).first()[0] or 0
-    small = F.broadcast if n_items <= p.broadcast_rows else (lambda df: df)
+    item_words = of_items(benchmark, p, sizes, lambda rows, k: shingle_columns(rows.select("item_id", words_of().alias("words")), ["item_id"], p, "words", k)).distinct()
+    per_item = item_words.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
+    wanted = candidates.select("c_doc").distinct()
+    among = docs.join(small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi")
+    doc_words = shingle_columns(among.select("doc_id", words_of().alias("words")), ["doc_id"], p, "words", sizes)
+    n_items = per_item.agg(F.sum("n_shingles")).first()[0] or 0
     ws = [f"w{i}" for i in range(p.words)]
-    found = doc_words.join(small(item_words), ws).groupBy("doc_id", "item_id").agg(F.count_distinct(*ws).alias("n_found"))
+    blank = lambda df: df.select(*[c for c in df.columns if c not in ws], *[F.coalesce(w, F.lit("")).alias(w) for w in ws])
+    found = blank(doc_words).join(small(blank(item_words), n_items), ws).groupBy("doc_id", "item_id").agg(F.count_distinct(*ws).alias("n_found"))
     pair = F.col("doc_id").eqNullSafe(F.col("c_doc")) & F.col("item_id").eqNullSafe(F.col("c_item"))
-    verified = found.join(candidates, pair, "left_semi").join(sizes.withColumnRenamed("item_id", "s_item"), F.col("item_id").eqNullSafe(F.col("s_item")))
+    verified = found.join(candidates, pair, "left_semi").join(per_item.withColumnRenamed("item_id", "s_item"), F.col("item_id").eqNullSafe(F.col("s_item")))
     return verified.select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment")).where(F.col("containment") >= p.threshold)
 
 
@@ -109,8 +124,10 @@ def op8_decontamination(spark, sf_dir):
 OP8_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) AS s FROM dw WHERE len(ws) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) AS s FROM bw WHERE len(ws) >= 5),
+k AS (SELECT DISTINCT least(len(ws), 5) AS k FROM bw WHERE len(ws) > 0),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(len(ws) - k + 1), lambda i: array_to_string(ws[i + 1:i + k], ' '))) AS s FROM dw JOIN k ON len(ws) >= k),
+b5 AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM bw WHERE len(ws) > 0),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(len(ws) - k + 1), lambda i: array_to_string(ws[i + 1:i + k], ' '))) AS s FROM b5),
 n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
 f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment

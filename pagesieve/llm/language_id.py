@@ -49,7 +49,7 @@ def _letters() -> np.ndarray:
     global _LETTER
     if _LETTER is None:
         t = np.full(0x110000, 32, dtype=np.uint32)
-        for c in range(0x30000):
+        for c in range(0x110000):  # all planes: letters go beyond the second one
             if chr(c).isalpha():
                 t[c] = c
         _LETTER = t

@@ -1,14 +1,13 @@
 """Packing into length buckets that minimise padding.
 
-Lengths are the texts' words (or a given column). Their global histogram is exact up to ``exact`` words and has
-``cells`` cells per doubling beyond (each cell keeps its largest length that occurs), so what reaches the driver is
-bounded: at most ``exact + 50 * cells`` rows, whatever the corpus. Dynamic programming over the histogram chooses at
-most ``buckets`` boundaries (lengths that occur) with the least padding; for lengths up to ``exact`` the choice is the
-optimum. Batches of at most ``budget`` padded tokens form inside a bucket.
+Lengths are the texts' words (or a given column). Their global histogram has a row for each length that occurs, so what
+reaches the driver is bounded by the longest text, not by the corpus. Dynamic programming over it chooses at most
+``buckets`` boundaries (lengths that occur) with the least padding of all choices. Batches of at most ``budget`` padded
+tokens form inside a bucket.
 
-A bucket can hold most of the corpus, so it is dealt out in shards by a hash of the row, as many as its count in the
-histogram asks for (``shard_rows`` each); rows are numbered within a shard, and each shard ends with at most one batch
-that isn't full. Nothing is numbered globally.
+A bucket can hold most of the corpus, so it is dealt out in shards by a hash of the row and its place in the input, as
+many as its count in the histogram asks for (``shard_rows`` each); rows are numbered within a shard, and each shard ends
+with at most one batch that isn't full. Nothing is numbered globally, and rows that are equal in all columns spread too.
 
 Cases: a null or empty text has length 0 and is packed with the shortest; a null or repeated doc_id is a row of its
 own (ties are broken by a hash of the text, and equal rows may take each other's place); a text longer than the budget
@@ -29,8 +28,6 @@ from pyspark.sql import functions as F
 class PackingParams:
     buckets: int = 16
     budget: int = 8192
-    exact: int = 4096
-    cells: int = 128
     shard_rows: int = 4096
 
 
@@ -43,52 +40,56 @@ def text_length(col: str = "text"):
     return F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
 
 
-def histogram(lengths: DataFrame, p: PackingParams) -> list[tuple[int, int, int]]:
-    """(largest length, rows, summed length) of each cell, in order; ``lengths`` has a column n_tokens."""
-    n = F.col("n_tokens")
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")))) / p.cells
-    cell = F.when(n <= p.exact, n.cast("double")).otherwise(F.ceil(n / step) * step)
-    rows = lengths.groupBy(cell.alias("cell")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")).collect()
-    return sorted((r["top"], r["rows"], r["tokens"]) for r in rows)
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths that occur, in order, and how often; ``lengths`` has a column n_tokens."""
+    got = lengths.groupBy("n_tokens").agg(F.count("*").alias("rows")).toArrow()
+    length, rows = (got.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "rows"))
+    order = np.argsort(length)
+    return length[order], rows[order]
+
 
+def best_boundaries(length: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
+    """Bucket lengths with the least padding over the histogram (``length`` ascending).
 
-def best_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
-    """Bucket lengths with the least padding: the last cell of each bucket sets its length."""
-    if not cells:
+    The best last bucket of the first j lengths never begins earlier when j grows, so each layer of the dynamic
+    programme halves its ranges instead of trying all pairs.
+    """
+    n = len(length)
+    if not n:
         return []
-    top = np.array([c[0] for c in cells], dtype=np.float64)
-    count = np.concatenate([[0], np.cumsum([c[1] for c in cells])]).astype(np.float64)
-    tokens = np.concatenate([[0], np.cumsum([c[2] for c in cells])]).astype(np.float64)
-    n = len(cells)
-    k_max = min(buckets, n)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    came = np.zeros((k_max + 1, n + 1), dtype=np.int64)
-    costs = []
-    for k in range(1, k_max + 1):
-        new = np.full(n + 1, np.inf)
-        for j in range(1, n + 1):
-            c = best[:j] + top[j - 1] * (count[j] - count[:j]) - (tokens[j] - tokens[:j])
-            i = int(np.argmin(c))
-            new[j], came[k, j] = c[i], i
+    count, tokens = (np.concatenate([[0], np.cumsum(x)]) for x in (rows, length * rows))
+    best = np.append(0, np.full(n, np.iinfo(np.int64).max // 4))  # least padding of the first j lengths, no bucket yet
+    came, costs = [], []
+    for _ in range(min(buckets, n)):
+        new, begin = best.copy(), np.zeros(n + 1, dtype=np.int64)
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            padding = best[i] + length[j - 1] * (count[j] - count[i]) - (tokens[j] - tokens[i])
+            at = int(np.argmin(padding))
+            new[j], begin[j] = padding[at], i[at]
+            todo += [(lo, j - 1, first, int(i[at])), (j + 1, hi, int(i[at]), last)]
         best = new
+        best[0] = np.iinfo(np.int64).max // 4  # a bucket holds a length at least
+        came.append(begin)
         costs.append(best[n])
-    k = int(np.argmin(costs)) + 1
     out, j = [], n
-    for k in range(k, 0, -1):
-        out.append(int(top[j - 1]))
-        j = int(came[k, j])
+    for begin in came[int(np.argmin(costs)) :: -1]:
+        out.append(int(length[j - 1]))
+        j = int(begin[j])
     return out[::-1]
 
 
 def pack_documents(docs: DataFrame, params: PackingParams = PackingParams(), length=None) -> DataFrame:
     """Append n_tokens, bucket, bucket_tokens, batch_id, batch_row and padding to ``docs`` (doc_id, text)."""
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ADDED]).withColumn("n_tokens", text_length() if length is None else length.cast("long"))
-    cells = histogram(docs.select("n_tokens"), params)
-    bounds = best_boundaries(cells, params.buckets) or [0]
-    rows = [0] * len(bounds)
-    for top, n, _ in cells:
-        rows[int(np.searchsorted(bounds, top))] += n
+    length, count = histogram(docs.select("n_tokens"))
+    bounds = best_boundaries(length, count, params.buckets) or [0]
+    rows = np.bincount(np.searchsorted(bounds, length), count, minlength=len(bounds)).astype(np.int64).tolist()
     n = F.col("n_tokens")
     bucket, tokens, shards = F.lit(len(bounds) - 1), F.lit(bounds[-1]).cast("long"), F.lit(max(1, -(-rows[-1] // params.shard_rows)))
     for i in range(len(bounds) - 2, -1, -1):
@@ -96,7 +97,7 @@ def pack_documents(docs: DataFrame, params: PackingParams = PackingParams(), len
         tokens = F.when(n <= bounds[i], F.lit(bounds[i]).cast("long")).otherwise(tokens)
         shards = F.when(n <= bounds[i], F.lit(max(1, -(-rows[i] // params.shard_rows)))).otherwise(shards)
     dealt = docs.withColumns({"bucket": bucket.cast("int"), "bucket_tokens": tokens, "__key": F.xxhash64("doc_id", "text"), "__n": shards.cast("long")})
-    dealt = dealt.withColumn("__shard", F.pmod(F.xxhash64(F.lit(7), "__key"), F.col("__n")))
+    dealt = dealt.withColumn("__shard", F.pmod(F.xxhash64(F.lit(7), "__key", F.monotonically_increasing_id()), F.col("__n")))
     w = Window.partitionBy("bucket", "__shard").orderBy(F.asc_nulls_first("doc_id"), "__key")
     fit = F.greatest(F.lit(1), F.floor(F.lit(params.budget) / F.greatest(F.col("bucket_tokens"), F.lit(1)))).cast("int")
     numbered = dealt.withColumns({"__at": F.row_number().over(w) - 1, "__fit": fit})

@@ -1,16 +1,16 @@
-"""Token counts of whole texts, with overlap resynchronisation for huge ones.
+"""Token counts of whole texts by overlap resynchronisation.
 
-A text of more than ``chunk_chars`` characters is encoded in overlapping chunks with offsets. Two neighbouring
-encodings are spliced at a boundary that both have and that is proven stable: a white-space character after a
-character that is no white space. No pre-token of the byte-level pattern reaches across such a place (white space
-occurs in it only at its front, or it is white space only), and no added token holds white space, so the tokens before
-and after are those of the whole text. Where an overlap holds no such boundary it is doubled, at most up to the rest
-of the text; so the count is that of the library on the whole text in every case.
+A text of more than ``chunk_chars`` characters (a page or two) is encoded in overlapping chunks with offsets. Two
+neighbouring encodings are spliced at a boundary that both have and that is proven stable: a space, tab or line end
+after a character that is no white space. No pre-token of the byte-level pattern reaches across such a place (white
+space occurs in it only at its front, or it is white space only), and no added token holds white space, so the tokens
+before and after are those of the whole text. Where an overlap holds no such boundary it is doubled, at most up to the
+rest of the text; so the count is that of the library on the whole text in every case.
 
-Shorter texts are cut at the same boundaries, all of them, and each distinct piece is counted once per worker (for
-tokenizers of that kind; others encode whole texts).
+Texts within one chunk are cut at the same boundaries, all of them, and each distinct piece is counted once per worker.
+Both need a tokenizer of that kind (``PieceCounter.fits``); others encode whole texts.
 
-One Arrow pass without a shuffle; peak memory is a batch of texts and one chunk's tokens.
+One Arrow pass without a shuffle; peak memory is a batch of texts and its tokens.
 
 Cases: a null text counts as empty (0 tokens, 0 bytes); null and repeated ids are kept row by row; an empty table gives
 an empty result; other columns pass through, and those named like an output column are replaced.
@@ -30,8 +30,8 @@ from pagesieve.llm._common import tune, with_columns_from_arrow
 
 @dataclass(frozen=True)
 class TokenCountParams:
-    chunk_chars: int = 200_000
-    overlap_chars: int = 2_000
+    chunk_chars: int = 4_000
+    overlap_chars: int = 200
     limit: int = 512
 
 
@@ -94,9 +94,10 @@ class PieceCounter:
             part = groups[a : a + 50]
             for g, e in zip(part, self.tok.encode_batch_fast(["".join(g) for g in part], add_special_tokens=False)):
                 at = np.flatnonzero(self.starts[np.array(e.ids, dtype=np.int64)])
-                if len(at) != len(g):
-                    raise ValueError("a piece got lost between others")
-                self.known.update(zip(g, np.diff(np.append(at, len(e.ids))).tolist()))
+                if len(at) == len(g):
+                    self.known.update(zip(g, np.diff(np.append(at, len(e.ids))).tolist()))
+                else:  # a tokenizer with other tokens that begin with a space
+                    other += g
         for a in range(0, len(other), 10_000):
             self.known.update(zip(other[a : a + 10_000], map(len, self.tok.encode_batch_fast(other[a : a + 10_000], add_special_tokens=False))))
 
@@ -127,33 +128,76 @@ _COUNTERS: dict[str, PieceCounter] = {}
 
 
 def stable(text: str, at: int) -> bool:
-    """A place that no pre-token spans: white space begins there."""
-    return 0 < at < len(text) and text[at].isspace() and not text[at - 1].isspace()
+    """A place that no pre-token spans: ``BOUNDARY`` in Python's terms (its white space holds all of the pattern's)."""
+    return 0 < at < len(text) and text[at] in " \t\n\r" and not text[at - 1].isspace()
+
+
+def begins(encoding, at: int) -> int | None:
+    """The index of the token that begins with the character ``at``."""
+    token = encoding.char_to_token(at)
+    return token if token is not None and encoding.token_to_chars(token)[0] == at else None
+
+
+def splice(text: str, left, left_at: int, right, right_at: int, begin: int, stop: int) -> tuple[int, int, int] | None:
+    """(place, tokens of ``left`` before it, tokens of ``right`` before it) of the last common stable boundary in begin..stop."""
+    for at in range(stop - 1, begin, -1):
+        if stable(text, at):
+            a, b = begins(left, at - left_at), begins(right, at - right_at)
+            if a is not None and b is not None:
+                return at, a, b
+    return None
+
+
+def count_chunked(tokenizer, texts: list[str], chunk: int, overlap: int) -> tuple[list[int], int, int]:
+    """Tokens of each text from overlapping chunks, all chunks encoded together; splices made; texts whose overlap was widened."""
+    pieces, of = [], []
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - overlap), chunk):
+            pieces.append(t[a : a + chunk + overlap])
+            of.append((i, a))
+    encoded = tokenizer.encode_batch(pieces, add_special_tokens=False)
+    total, failed, splices = [0] * len(texts), set(), 0
+    skip = 0  # tokens of the present chunk that belong to the one before
+    for k, (i, a) in enumerate(of):
+        if a == 0:
+            skip = 0
+        if i in failed:
+            continue
+        if k + 1 == len(of) or of[k + 1][0] != i:
+            total[i] += len(encoded[k]) - skip
+            continue
+        b = of[k + 1][1]
+        found = splice(texts[i], encoded[k], a, encoded[k + 1], b, b, a + len(pieces[k]))
+        if found is None:
+            failed.add(i)
+            total[i] = count_spliced(tokenizer, texts[i], chunk, 2 * overlap)
+        else:
+            splices += 1
+            total[i] += found[1] - skip
+            skip = found[2]
+    return total, splices, len(failed)
 
 
 def count_spliced(tokenizer, text: str, chunk: int, overlap: int) -> int:
-    """Tokens of a huge text from overlapping chunks."""
+    """Tokens of one text, chunk by chunk; where an overlap holds no common stable boundary it is doubled."""
     total, start, n = 0, 0, len(text)
-    tail = None  # (offset of the chunk, token starts) of the chunk before, from the last splice on
+    cut = 0  # tokens before this place are counted
     while True:
         stop, own = min(n, start + chunk), overlap
-        ends = tokenizer.encode(text[start:stop], add_special_tokens=False).offsets
-        starts = [a + start for a, _ in ends]
-        if tail is not None:
-            starts = [a for a in starts if a >= tail]
+        left = tokenizer.encode(text[start:stop], add_special_tokens=False)
+        before = begins(left, cut - start) if cut > start else 0
         if stop == n:
-            return total + len(starts)
-        # widen the overlap until both encodings share a proven boundary in it
+            return total + len(left) - before
         while True:
             begin = max(start + 1, stop - own)
-            if begin <= max(start + 1, tail or 0):  # the chunk holds none: take a longer one instead
+            if begin <= max(start + 1, cut):  # the chunk holds no boundary: take a longer one instead
                 chunk *= 2
                 break
-            nxt = {a + begin for a, _ in tokenizer.encode(text[begin : min(n, stop + own)], add_special_tokens=False).offsets}
-            cut = next((a for a in reversed(starts) if begin < a < stop and a in nxt and stable(text, a)), None)
-            if cut is not None:
-                total += sum(a < cut for a in starts)
-                start, tail = begin, cut
+            right = tokenizer.encode(text[begin : min(n, stop + own)], add_special_tokens=False)
+            found = splice(text, left, start, right, begin, begin, stop)
+            if found is not None:
+                total += found[1] - before
+                start, cut = begin, found[0]
                 break
             own *= 2
 
@@ -173,15 +217,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, params: TokenCountParams
             n[:] = [len(tok.encode(t)) for t in filled.to_pylist()]
         else:
             counter = piece_counter(tokenizer_path)
-            huge = pc.greater(pc.utf8_length(filled), params.chunk_chars).to_numpy(zero_copy_only=False)
-            whole = ~huge & (pc.match_substring(filled, CUT).to_numpy(zero_copy_only=False) if counter.fits else True)
-            plain = ~huge & ~whole
+            long = pc.greater(pc.utf8_length(filled), params.chunk_chars).to_numpy(zero_copy_only=False) if counter.fits else np.zeros(len(n), bool)
+            whole = ~long & (pc.match_substring(filled, CUT).to_numpy(zero_copy_only=False) if counter.fits else True)
+            plain = ~long & ~whole
             if plain.any():
                 n[plain] = counter(filled.filter(pa.array(plain)))
             if whole.any():
                 n[whole] = [len(e) for e in counter.tok.encode_batch_fast(filled.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
-            for i in np.flatnonzero(huge):
-                n[i] = count_spliced(counter.tok, filled[int(i)].as_py(), params.chunk_chars, params.overlap_chars)
+            at, size = np.flatnonzero(long), pc.utf8_length(filled).to_numpy(zero_copy_only=False)
+            while len(at):  # some texts at once, so that their tokens stay few
+                k = max(1, int(np.searchsorted(np.cumsum(size[at]), 1_000_000, side="right")))
+                n[at[:k]] = count_chunked(counter.tok, [filled[int(i)].as_py() for i in at[:k]], params.chunk_chars, params.overlap_chars)[0]
+                at = at[k:]
         n_bytes = pc.fill_null(pc.binary_length(cols["text"]), 0).cast(pa.int64())
         return [n_bytes, pa.array(n, pa.int64()), pa.array(n > params.limit, pa.bool_())]
 

@@ -10,8 +10,8 @@ Layout of a folder that ``write_token_files`` makes:
   (32 bytes) and the magic ``PSTOKEN1``.
 
 A document is read by two ranges of its shard: the index, then its frame (``read_document``). Shards are ranges of
-doc_id, one for each partition of a range exchange, so no task holds more than a partition and an equal id never
-spans a rule other than row order. A task writes its shard under a name of its own and moves it into place; a task that
+(doc_id, hash of the text), one for each partition of a range exchange, so no task holds more than a partition, however
+many rows have one id or none. A task writes its shard under a name of its own and moves it into place; a task that
 runs again after a lost executor writes the same bytes again.
 
 Encoding calls the tokenizer library on each distinct chunk of non-space characters once and repeats its ids. The
@@ -19,7 +19,7 @@ pre-tokenizer of the file in use drops white space and no rule, added token or n
 ASCII white space, so the ids equal those of the whole text; ``words_are_independent`` checks these properties of the
 tokenizer file, and other tokenizers encode whole texts.
 
-Cases: a null text is empty (only the end id); null ids come first, and equal ids are ordered by text; an empty table
+Cases: a null text is empty (only the end id); null ids come first, and equal ids are ordered by a hash of their text; an empty table
 gives no shard and an empty result; extra columns are not read.
 """
 
@@ -102,22 +102,24 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         plain = [w for w in new if self.MARK not in w]
         other = [w for w in new if self.MARK in w]
-        sizes, ids = [], []
+        sizes, ids, learned = [], [], []
         groups = [plain[a : a + 100] for a in range(0, len(plain), 100)]
         for a in range(0, len(groups), 50):
             part = groups[a : a + 50]
             for g, e in zip(part, self.tok.encode_batch_fast([f" {self.MARK} ".join(g) for g in part], add_special_tokens=False)):
                 x = np.array(e.ids, dtype=np.uint32)
                 cut = np.flatnonzero(x == self.mark)
-                if len(cut) != len(g) - 1:
-                    raise ValueError("a mark got lost between chunks")
+                if len(cut) != len(g) - 1:  # a chunk took the mark in: encode these one by one
+                    other += g
+                    continue
+                learned += g
                 sizes.append(np.diff(np.concatenate([[-1], cut, [len(x)]])) - 1)
                 ids.append(x[x != self.mark])
         for w in other:
             x = np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
             sizes.append(np.array([len(x)]))
             ids.append(x)
-        for w in (*plain, *other):
+        for w in (*learned, *other):
             self.at[w] = len(self.at)
         if sizes:
             self.sizes = np.concatenate([self.sizes, *sizes])
@@ -245,7 +247,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, params: To
             write_file(f"{out}/{name}", everything())
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(counts)], pa.int64()), pa.array([sum(counts)], pa.int64())], names=["name", "docs", "tokens"])
 
-    ranged = docs.repartitionByRange(n_shards, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # ranges of (id, hash of the text): rows that share an id, or have none, spread over shards as others do
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("__text")]
+    ranged = docs.withColumn("__text", F.xxhash64("text")).repartitionByRange(n_shards, *order).sortWithinPartitions(*order).drop("__text")
     return sorted((r["name"], r["docs"], r["tokens"]) for r in ranged.mapInArrow(shard, "name string, docs long, tokens long").collect())
 
 

@@ -216,7 +216,10 @@ def op5_warc_transactions(spark, sf_dir):
     flat = written(flat, new_path(spark, "warc-captures"))
     revisited = flat.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     first = revisited.join(flat.where("refers_to_id is not null").select("refers_to_id").distinct(), "refers_to_id", "left_semi").groupBy("refers_to_id").agg(F.max("refers_to").alias("refers_to"))
-    return flat.join(first, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses refer to nothing: they stay out of the join, where they would all share the null key
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = flat.where("refers_to_id is not null").join(first, "refers_to_id", "left").select(*columns)
+    return revisits.unionByName(flat.where("refers_to_id is null").select(*columns[:-1], F.lit(None).cast("long").alias("refers_to")))
 
 
 OP5_SQL = """

@@ -154,16 +154,25 @@ def test_decontamination_equals_sql(spark):
 def test_decontamination_edges(spark, no_docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     long = " ".join(sentences(30, 5, 400))
-    bench = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, "too short", 0), (3, None, 0), (None, "uno dos tres cuatro cinco seis", 0)], "item_id long, text string, h int")
-    rows = [(1, f"{long} {item.upper()}, {long}"), (2, item.replace("alpha", "omega")), (3, "beta gamma delta epsilon zeta"), (4, None), (5, ""), (6, item), (6, item), (None, item), (7, "Uno-dos tres, cuatro cinco seis"), (8, "too short")]
+    bench = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, "too short", 0), (4, "...", 0), (5, "answer is forty two", 0), (3, None, 0), (None, "uno dos tres cuatro cinco seis", 0)], "item_id long, text string, h int")
+    rows = [(1, f"{long} {item.upper()}, {long}"), (2, item.replace("alpha", "omega")), (3, "beta gamma delta epsilon zeta"), (4, None), (5, ""), (6, item), (6, item), (None, item), (7, "Uno-dos tres, cuatro cinco seis"), (8, "Too short"), (9, "so the answer is forty-two here"), (10, "answer was forty two"), (11, "short too")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, item_id string")
     got = {(r["doc_id"], r["item_id"]): r["containment"] for r in search_containment(docs, bench).collect()}
-    assert got == {(1, 1): 1.0, (2, 1): 5 / 6, (6, 1): 1.0, (None, 1): 1.0, (7, None): 1.0}
+    assert got == {(1, 1): 1.0, (2, 1): 5 / 6, (6, 1): 1.0, (None, 1): 1.0, (7, None): 1.0, (8, 2): 1.0, (9, 5): 1.0}
     by_shuffle = search_containment(docs, bench, DecontaminationParams(broadcast_rows=0)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in by_shuffle} == set(got)
     assert search_containment(no_docs, bench).count() == 0 and search_containment(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    """A text of several million characters, with an item at its very end."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = " ".join(sentences(1, 5, 700_000)) + " " + item
+    docs = spark.createDataFrame([(1, long), (2, long[: len(long) // 2])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert len(long) > 3_000_000 and [(r["doc_id"], r["containment"]) for r in search_containment(docs, bench).collect()] == [(1, 1.0)]
+
+
 def test_sketch_rule():
     p = DecontaminationParams()
     assert needed_hits(1, p) == 1 and 1 < needed_hits(16, p) < 16
@@ -173,6 +182,24 @@ def padding(lengths, bounds):
     return sum(next(b for b in bounds if b >= n) - n for n in lengths)
 
 
+def boundaries(lengths, buckets):
+    c = sorted(collections.Counter(lengths).items())
+    return best_boundaries(np.array([n for n, _ in c]), np.array([k for _, k in c]), buckets)
+
+
+def plain_least_padding(lengths, buckets):
+    """The textbook recurrence over all pairs."""
+    c = sorted(collections.Counter(lengths).items())
+    n = len(c)
+    rows, words = np.cumsum([0, *(k for _, k in c)]), np.cumsum([0, *(x * k for x, k in c)])
+    best = [0.0] + [math.inf] * n
+    least = math.inf
+    for _ in range(min(buckets, n)):
+        best = [math.inf] + [min(float(v) for v in np.array(best[:j]) + c[j - 1][0] * (rows[j] - rows[:j]) - (words[j] - words[:j])) for j in range(1, n + 1)]
+        least = min(least, best[n])
+    return least
+
+
 def test_boundaries_are_optimal():
     import itertools
     import random
@@ -181,10 +208,9 @@ def test_boundaries_are_optimal():
     for _ in range(30):
         lengths = [rng.randint(0, 12) for _ in range(rng.randint(1, 25))]
         c = collections.Counter(lengths)
-        cells = [(n, k, n * k) for n, k in sorted(c.items())]
-        for buckets in (1, 2, 3):
+        for buckets in (1, 2, 3, 4):
             best = min(padding(lengths, sorted({*s, max(c)})) for s in itertools.combinations(sorted(c), min(buckets - 1, len(c))))
-            got = best_boundaries(cells, buckets)
+            got = boundaries(lengths, buckets)
             assert padding(lengths, got) == best and len(got) <= buckets
 
 
@@ -211,5 +237,18 @@ def test_packing_query_equals_brute_force(spark):
     lengths = [r["n_tokens"] for r in rows]
     docs = {r["doc_id"]: len(r["text"].split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == docs
-    c = collections.Counter(lengths)
-    assert max(c) > 4096 or sum(r["padding"] for r in rows) == padding(lengths, best_boundaries([(n, k, n * k) for n, k in sorted(c.items())], 16))
+    assert sum(r["padding"] for r in rows) == plain_least_padding(lengths, 16)
+    assert len({r["bucket_tokens"] for r in rows}) == 16
+
+
+def test_boundaries_of_long_texts_are_optimal():
+    rng = np.random.default_rng(5)
+    lengths = np.concatenate([rng.integers(0, 300, 2000), rng.integers(4000, 90_000, 300)]).tolist()
+    assert padding(lengths, boundaries(lengths, 16)) == plain_least_padding(lengths, 16)
+
+
+def test_equal_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 400, "doc_id long, text string").repartition(4)
+    rows = pack_documents(docs, PackingParams(budget=30, shard_rows=20)).collect()
+    sizes = collections.Counter(r["batch_id"].split("-")[1] for r in rows)
+    assert len(rows) == 400 and len(sizes) > 10 and max(sizes.values()) < 60

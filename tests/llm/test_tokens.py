@@ -4,9 +4,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from pagesieve.llm._common import new_path
-from pagesieve.llm.token_counts import TokenCountParams, count_spliced, count_tokens, load_tokenizer
+from pagesieve.llm.token_counts import TokenCountParams, count_chunked, count_spliced, count_tokens, load_tokenizer
 from pagesieve.llm.token_files import Encoder, TokenShard, read_document, read_token_files, write_token_files
 from tests.conftest import SF
 
@@ -17,7 +18,7 @@ def test_files_round_trip(spark, odd_docs):
     out = new_path(spark, "t")
     shards = write_token_files(odd_docs, out, WORD)
     tok, start = load_tokenizer(WORD), 0
-    rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or ""))
+    rows = odd_docs.withColumn("h", F.xxhash64("text")).orderBy(F.asc_nulls_first("doc_id"), "h").collect()
     got = read_token_files(spark, out, shards, with_ids=True).orderBy("start").collect()
     assert len(got) == len(rows)
     for r, g in zip(rows, got):
@@ -57,11 +58,24 @@ def test_encoder_equals_library_on_any_text():
 
 def test_spliced_counts_equal_the_library():
     rng, tok = random.Random(6), load_tokenizer(BYTE)
+    texts = []
     for k in range(400):
-        t = "".join(rng.choice(["a", "b", " ", "  ", "\n", "'s", "hello", "<|endoftext|>", "é", "7", "!!", " \n ", " "]) for _ in range(rng.randint(0, 400)))
+        texts.append("".join(rng.choice(["a", "b", " ", "  ", "\n", "'s", "hello", "<|endoftext|>", "é", "7", "!!", " \n ", " ", "\x1c", "\x1f ", "\x85", "\u2003", "字"]) for _ in range(rng.randint(0, 400))))
         if k % 8 == 0:
-            t = "".join(t.split())  # nowhere to splice
-        assert count_spliced(tok, t, rng.choice([20, 50, 100]), rng.choice([3, 10, 20])) == len(tok.encode(t, add_special_tokens=False).ids)
+            texts[-1] = "".join(texts[-1].split())  # nowhere to splice
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk, overlap in ((20, 3), (50, 10), (100, 20)):
+        assert [count_spliced(tok, t, chunk, overlap) for t in texts] == want
+        got, splices, widened = count_chunked(tok, texts, chunk, overlap)
+        assert got == want and splices > 40 and 0 < widened < 400
+
+
+def test_the_query_splices_its_own_long_texts(spark):
+    p, tok = TokenCountParams(), load_tokenizer(BYTE)
+    long = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r["text"] or "") > p.chunk_chars]
+    got, splices, widened = count_chunked(tok, long, p.chunk_chars, p.overlap_chars)
+    assert got == [len(tok.encode(t, add_special_tokens=False).ids) for t in long]
+    assert splices == sum(-(-(len(t) - p.overlap_chars) // p.chunk_chars) - 1 for t in long) > 20 and not widened
 
 
 def test_counts_from_pieces_equal_the_library():
