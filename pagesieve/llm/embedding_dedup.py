@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by range search on a robust-pruned flat graph.
 
-1. Equal vectors are one node with a multiplicity, so copies cost nothing and are never paired off.
+1. Equal vectors are one node with a multiplicity, so copies cost nothing and are never paired off. A node is named by a
+   hash of its vector, made anew if two vectors share it; vec_id names rows only.
 2. Centroids are fitted on a bounded sample (``sample`` vectors); every node joins its ``overlap`` nearest clusters.
-   Their broadcast is bounded by ``max_clusters`` times the dimension.
+   Their broadcast is bounded by ``max_clusters`` times the dimension. A shard of more than ``shard_limit`` nodes (a dense
+   region, or more nodes than so many clusters can divide) is compared exactly, block by block, instead of by graph.
 3. Each cluster shard builds a flat graph: nearest candidates of each member, robust pruning (a candidate is dropped if
    a kept one is ``alpha`` times nearer to it than the member is), reverse edges, and links from separate parts to the
    medoid. The adjacency lists of a node's shards are united.
@@ -10,13 +12,14 @@
    node within range, the member's own among them, is expanded until none is new).
 5. Found pairs are verified by cosine >= threshold in double precision. A pair is counted in the first shard that both
    ends share; links leave a shard as counts and a local component's smallest node, never as pairs.
-6. Recall is audited against brute force for a bounded sample of nodes against all nodes; below ``min_recall`` the
-   overlap is widened and the search repeated.
+6. Recall is audited against brute force for a bounded sample of nodes against all nodes (``similar_vectors`` reports it
+   to a list); below ``min_recall`` the overlap is widened and the search repeated.
 7. Where ``attempts`` searches stay below it, the links are found exactly: a node meets each cluster whose cell its range
    can touch (angle to the centroid at most the range plus the cell's radius), clusters being dealt in blocks.
 
 Cases: a vector that is null, empty, zero or holds null or non-finite components, and a row without vec_id, links with
-nothing; vectors of different dimensions never link (routing pads them); rows with equal vec_id and vector are copies;
+nothing; vectors of different dimensions never link (routing pads them); rows with equal vec_id and vector are copies,
+rows with equal vec_id and different vectors are vectors of their own;
 ties at the threshold link; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -47,8 +50,10 @@ class EmbeddingParams:
     audit: int = 500
     min_recall: float = 0.98
     attempts: int = 3
+    #: members of a shard that is searched by graph
+    shard_limit: int = 6000
     #: vectors in one block of the exact search
-    block_rows: int = 8000
+    block_rows: int = 4000
 
 
 def unit(rows, dim: int | None = None) -> np.ndarray:
@@ -228,6 +233,18 @@ def build_shard(key, pdf, p: EmbeddingParams):
     return pd.concat(out)
 
 
+def padded(homes) -> np.ndarray:
+    """Lists of shards as rows of one array, -1 beyond their ends."""
+    width = max(map(len, homes))
+    return np.array([list(x) + [-1] * (width - len(x)) for x in homes], dtype=np.int64)
+
+
+def first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest shard of each row of ``x`` that the same row of ``y`` has too."""
+    shared = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any(axis=2)
+    return np.where(shared, x, np.iinfo(np.int64).max).min(axis=1)
+
+
 def search_shard(key, pdf, p: EmbeddingParams):
     import pandas as pd
 
@@ -243,24 +260,23 @@ def search_shard(key, pdf, p: EmbeddingParams):
         a, b = range_search(m, adjacency, p)
         ok = dots(m, a, b) >= p.threshold if len(a) else np.zeros(0, bool)
         a, b = a[ok], b[ok]
-        homes = g["shards"].tolist()
-        width = max(map(len, homes))
-        h = np.array([list(x) + [-1] * (width - len(x)) for x in homes], dtype=np.int64)
+        h = padded(g["shards"])
         mine = np.zeros(len(a), dtype=bool)
         for i in range(0, len(a), 100_000):
-            x, y = h[a[i : i + 100_000]], h[b[i : i + 100_000]]
-            common = np.where(((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any(axis=2), x, np.iinfo(np.int64).max).min(axis=1)
-            mine[i : i + 100_000] = common == shard
+            mine[i : i + 100_000] = first_common(h[a[i : i + 100_000]], h[b[i : i + 100_000]]) == shard
         links = np.bincount(a[mine], copies[b[mine]], minlength=len(ids)).astype(np.int64)
         root = ids[local_components(len(ids), a, b)]
         out.append(pd.DataFrame({"node": ids, "links": links, "root": root}))
     return pd.concat(out)
 
 
-def similar_vectors(vectors: DataFrame, params: EmbeddingParams = EmbeddingParams()) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
+def similar_vectors(vectors: DataFrame, params: EmbeddingParams = EmbeddingParams(), audits: list | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
+
+    ``audits`` gets the recall that was measured after each search.
+    """
     spark, p = tune(vectors.sparkSession), params
-    paths = []
+    paths, audits = [], [] if audits is None else audits
 
     def store(df, name):
         paths.append(new_path(spark, f"embed-{name}"))
@@ -269,9 +285,12 @@ def similar_vectors(vectors: DataFrame, params: EmbeddingParams = EmbeddingParam
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    named = rows.where("fine").withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")})
-    nodes = store(named.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "nodes")
-    n, dim = nodes.agg(F.count("*"), F.mode(F.size("embedding"))).first()
+    for seed in range(0, 100, 2):
+        named = rows.where("fine").withColumns({"node": F.xxhash64(F.lit(seed), "embedding"), "check": F.xxhash64(F.lit(seed + 1), "embedding")})
+        nodes = store(named.groupBy("node", "check").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), f"nodes{seed}")
+        n, names, dim = nodes.agg(F.count("*"), F.count_distinct("node"), F.mode(F.size("embedding"))).first()
+        if n == names:
+            break
     if n:
         some = bounded_sample(nodes.select("node", "embedding"), p.sample, "node").orderBy("node").collect()
         sample = unit([r["embedding"] for r in some], dim)
@@ -281,16 +300,19 @@ def similar_vectors(vectors: DataFrame, params: EmbeddingParams = EmbeddingParam
         for attempt in range(p.attempts):
             counted = store(search(nodes, centroids, dim, p, store, attempt), f"found{attempt}")
             recall = audit(nodes, counted, queries, p)
+            audits.append(recall)
             if recall >= p.min_recall or p.overlap >= len(centroids):
                 break
             p = replace(p, overlap=p.overlap * 2)
         if recall < p.min_recall:
             counted = store(exact_search(nodes, centroids, dim, p, store), "exact")
+            audits.append(audit(nodes, counted, queries, p))
         links = counted.groupBy("node").agg(F.sum("links").alias("links"))
         parts = connected_components(counted.where("node <> root").select("node", "root").distinct(), lambda df, k: store(df, f"parts{k}"), "node", "root")
-        known = nodes.select("k1", "k2", "node", "copies").join(links, "node", "left").join(parts, "node", "left")
-        known = known.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-        linked = named.select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+        known = nodes.select("node", "least", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        known = store(known.select("node", "least", "part", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
+        ids = known.groupBy("part").agg(F.min("least").alias("component_id"))
+        linked = named.select("vec_id", "node").join(known.join(ids, "part"), "node").select("vec_id", "n_links", "component_id")
     else:
         linked = named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     alone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -316,9 +338,22 @@ def search(nodes: DataFrame, centroids: np.ndarray, dim: int, p: EmbeddingParams
 
     routed = nodes.select("embedding", "node").mapInArrow(route, "node long, shards array<int>")
     members = store(nodes.select("node", "copies", "embedding").join(routed, "node").select("*", F.explode("shards").alias("shard")), f"members{attempt}")
+    sizes = members.groupBy("shard").count().collect()  # one row a cluster
+    large = {r["shard"]: -(-r["count"] // p.block_rows) for r in sizes if r["count"] > p.shard_limit}
+    dense = members.where(F.col("shard").isin(list(large))) if large else None
+    members = members.where(~F.col("shard").isin(list(large))) if large else members
     lists = members.select("shard", "node", "embedding").groupBy("shard").applyInPandas(lambda key, pdf: build_shard(key, pdf, p), "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # overlap * degree or so
-    return members.join(united, "node").groupBy("shard").applyInPandas(lambda key, pdf: search_shard(key, pdf, p), "node long, links long, root long")
+    found = members.join(united, "node").groupBy("shard").applyInPandas(lambda key, pdf: search_shard(key, pdf, p), FOUND)
+    if not large:
+        return found
+    blocks = F.element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), F.col("shard"))
+    dealt = dense.withColumn("blocks", blocks).withColumn("own", F.pmod("node", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "copies", "embedding", "shards", "shard", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return found.unionByName(dealt.groupBy("i", "j", "shard").applyInPandas(lambda key, pdf: compare_blocks(key, pdf, p), FOUND))
+
+
+FOUND = "node long, links long, root long"
 
 
 def exact_search(nodes: DataFrame, centroids: np.ndarray, dim: int, p: EmbeddingParams, store) -> DataFrame:
@@ -374,24 +409,31 @@ def exact_search(nodes: DataFrame, centroids: np.ndarray, dim: int, p: Embedding
 
 
 def compare_blocks(key, pdf, p: EmbeddingParams):
-    """(node, links, root) of the links between block i and block j, for nodes that have any."""
+    """(node, links, root) of the links between block i and block j (the key), for nodes that have any.
+
+    In a shard (the third part of the key) a pair counts only if this is the first shard that both ends share.
+    """
     import pandas as pd
 
     out = [pd.DataFrame({"node": [], "links": [], "root": []}, dtype="int64")]
     for g in by_dimension(pdf.sort_values("node")):
         ids, copies, own = g["node"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
         m = unit(g["embedding"].tolist())
+        homes = padded(g["shards"]) if len(key) > 2 else None
         left, right = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a in range(0, len(left), 256):
-            rows = left[a : a + 256]
-            hit = (m[rows] @ m[right].T >= p.threshold) & (rows[:, None] != right[None, :])
-            links[rows] += hit @ copies[right]
+        for a in range(0, len(left), 128):
+            rows = left[a : a + 128]
+            x, y = np.nonzero((m[rows] @ m[right].T >= p.threshold) & (rows[:, None] != right[None, :]))
+            x, y = rows[x], right[y]
+            if homes is not None and len(x):
+                mine = first_common(homes[x], homes[y]) == key[2]
+                x, y = x[mine], y[mine]
+            links += np.bincount(x, copies[y], minlength=len(ids)).astype(np.int64)
             if key[0] != key[1]:
-                links[right] += copies[rows] @ hit
-            x, y = np.nonzero(hit)
+                links += np.bincount(y, copies[x], minlength=len(ids)).astype(np.int64)
             if len(x):  # earlier links are in the labels
-                label = local_components(len(ids), np.concatenate([np.arange(len(ids)), rows[x]]), np.concatenate([label, right[y]]))
+                label = local_components(len(ids), np.concatenate([np.arange(len(ids)), x]), np.concatenate([label, y]))
         some = links > 0
         out.append(pd.DataFrame({"node": ids[some], "links": links[some], "root": ids[label][some]}))
     return pd.concat(out)

@@ -8,6 +8,9 @@ unlabelled texts (U) with the class-prior-corrected, non-negative risk
 Whenever the second term falls below zero its gradient is reversed, as the method demands. Negative labels never
 enter the risk; they are counted once, to estimate the class prior.
 
+Features are those whose frequencies in P and U differ significantly, in either direction, so weights can speak for and
+against toxicity; which of them matter, and the intercept, is left to the risk.
+
 Fitting reads a bounded sample (``max_positive`` and ``max_unlabelled`` texts, documented parameters). Scoring is one
 Arrow pass over whole texts without a shuffle; the model is at most ``max_features`` weights.
 
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagesieve.llm._common import bounded_sample, crc_mod, new_path, partitions, small_steps, tune, with_columns_from_arrow, written
+from pagesieve.llm._common import bounded_sample, crc_mod, delete, new_path, partitions, small_steps, tune, with_columns_from_arrow, written
 from pagesieve.llm._words import letter_words
 
 PREFIXES = (4, 5, 6)
@@ -36,10 +39,10 @@ PREFIXES = (4, 5, 6)
 class ToxicityParams:
     max_positive: int = 6_000
     max_unlabelled: int = 12_000
-    max_features: int = 20_000
-    #: a feature is used if at least so many positive texts hold it and it is so many times as frequent in P as in U
-    min_positive: int = 3
-    min_lift: float = 3.0
+    max_features: int = 4_000
+    #: a feature is used if so many texts of the sample hold it and its shares of P and U are so many standard errors apart
+    min_texts: int = 3
+    min_z: float = 3.0
     steps: int = 400
     rate: float = 0.1
     l2: float = 1e-5
@@ -130,9 +133,6 @@ def nnpu_fit(rows_p, rows_u, n_features: int, prior: float, p: ToxicityParams) -
         m2 = 0.999 * m2 + 0.001 * g * g
         move = p.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    zu = score(mu)
-    if len(zu) and (zu > 0).mean() > 1.15 * prior:  # more of U than the prior allows: few examples; the prior sets the cut
-        b -= max(0.0, float(np.quantile(zu, 1 - prior)))
     return w, b
 
 
@@ -150,7 +150,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, params: Toxicit
     # The ids are at most max_positive longs: a proven bound, so they may be broadcast.
     p_rows = text.join(F.broadcast(positive), "doc_id", "left_semi").select("text", F.lit(1).alias("pos"))
     u_rows = bounded_sample(text, params.max_unlabelled, "doc_id").select("text", F.lit(0).alias("pos"))
-    sample = written(p_rows.unionByName(u_rows).repartition(max(8, min(64, partitions(spark)))), new_path(spark, "toxicity-sample"))
+    path = new_path(spark, "toxicity-sample")
+    sample = written(p_rows.unionByName(u_rows).repartition(max(8, min(64, partitions(spark)))), path)
 
     def count(batches):
         import pyarrow as pa
@@ -165,10 +166,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, params: Toxicit
     sizes = {r["pos"]: r["n"] for r in sample.groupBy("pos").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), max(1, sizes.get(0, 0))
     if not n_p:
+        delete(spark, path)
         return ToxicityModel(prior=prior)
-    lift = (F.col("p") / n_p) / ((F.col("u") + 1) / n_u)
-    best = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where((F.col("p") >= params.min_positive) & (lift >= params.min_lift))
-    picked = [r["f"] for r in best.orderBy((F.col("p") * F.log(lift)).desc(), "f").limit(params.max_features).collect()]
+    share = (F.col("p") + F.col("u")) / (n_p + n_u)
+    apart = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
+    best = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).withColumn("z", apart).where((F.col("p") + F.col("u") >= params.min_texts) & (F.col("z") >= params.min_z))
+    picked = [r["f"] for r in best.orderBy(F.desc("z"), "f").limit(params.max_features).collect()]
     index = {f: i for i, f in enumerate(picked)}
 
     def rows(batches):
@@ -179,11 +182,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, params: Toxicit
             doc, f, c, total = _doc_features(b.column(0), cache, lambda fs: tuple(index[x] for x in fs if x in index))
             v = feature_value(c, total[doc])
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int64())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, pa.float64()))], names=["pos", "i", "v"])
-
-    got = sample.mapInArrow(rows, "pos int, i array<long>, v array<double>").collect()
-    got.sort(key=lambda r: (r["pos"], list(r["i"]), list(r["v"])))  # the order of the sample's partitions doesn't matter
-    w, b = nnpu_fit([(r["i"], r["v"]) for r in got if r["pos"]], [(r["i"], r["v"]) for r in got if not r["pos"]], len(index), prior, params)
+            parts = list(zip(at[:-1], at[1:]))
+            yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array([x[i:j].astype(kind).tobytes() for i, j in parts], pa.binary()) for x, kind in ((f, "<i4"), (v, "<f8"))]], names=["pos", "i", "v"])
+
+    got = sample.mapInArrow(rows, "pos int, i binary, v binary").collect()  # bounded by the sample
+    delete(spark, path)
+    got.sort(key=lambda r: (r["pos"], bytes(r["i"]), bytes(r["v"])))  # the order of the sample's partitions doesn't matter
+    some = lambda pos: [(np.frombuffer(r["i"], "<i4"), np.frombuffer(r["v"], "<f8")) for r in got if r["pos"] == pos]
+    w, b = nnpu_fit(some(1), some(0), len(index), prior, params)
     return ToxicityModel(index, w, float(b), prior)
 
 

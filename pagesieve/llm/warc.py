@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm._common import filesystem, new_path, small_steps, tune, write_file, written
+from pagesieve.llm._common import delete, filesystem, new_path, release, small_steps, tune, write_file, written
 
 
 @dataclass(frozen=True)
@@ -210,16 +210,20 @@ def op5_warc_transactions(spark, sf_dir):
     out = new_path(spark, "warc")
     names = write_archives(pages, out)
     # Written once: the joins read it several times, and Spark sees its true size and doesn't broadcast it.
-    captures = assemble(written(read_archives(spark, out, names), new_path(spark, "warc-records")))
+    between = [new_path(spark, "warc-records"), new_path(spark, "warc-captures")]
+    captures = assemble(written(read_archives(spark, out, names), between[0]))
     field = lambda k: F.col("metadata.fields")[k].cast("long")
     flat = captures.select(field("page-id").alias("page_id"), "capture_id", F.coalesce("response.payload_bytes", field("payload-bytes")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to").alias("refers_to_id"))
-    flat = written(flat, new_path(spark, "warc-captures"))
+    flat = written(flat, between[1])
     revisited = flat.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     first = revisited.join(flat.where("refers_to_id is not null").select("refers_to_id").distinct(), "refers_to_id", "left_semi").groupBy("refers_to_id").agg(F.max("refers_to").alias("refers_to"))
     # responses refer to nothing: they stay out of the join, where they would all share the null key
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     revisits = flat.where("refers_to_id is not null").join(first, "refers_to_id", "left").select(*columns)
-    return revisits.unionByName(flat.where("refers_to_id is null").select(*columns[:-1], F.lit(None).cast("long").alias("refers_to")))
+    result = written(revisits.unionByName(flat.where("refers_to_id is null").select(*columns[:-1], F.lit(None).cast("long").alias("refers_to"))), new_path(spark, "warc-digests"))
+    release(spark)
+    delete(spark, *between)
+    return result
 
 
 OP5_SQL = """

@@ -129,3 +129,36 @@ def test_embedding_edges(spark):
     assert by[None][0] == 0
     assert similar_vectors(df.limit(0)).count() == 0
     assert similar_vectors(df.where("vec_id = 4")).count() == 1
+
+
+def plain_links(rows):
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, (_, v) in enumerate(rows)}
+    linked = {k: {j for j in unit if j != k and unit[j] @ unit[k] >= 0.95} for k in unit}
+    out = []
+    for k in unit:
+        seen, todo = {k}, [k]
+        while todo:
+            new = linked[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out.append((rows[k][0], len(linked[k]), min(rows[j][0] for j in seen)))
+    return sorted(out)
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (3, [0.0, 1.0, 0.1]), (4, [0.0, 0.0, 1.0]), (4, [1.0, 0.0, 0.1])]
+    got = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == plain_links(rows)
+
+
+def test_large_shards_are_compared_in_blocks(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(size=16) * rng.choice([0.1, 0.3, 1.0])).tolist()) for i in range(300)]
+    audits = []
+    p = EmbeddingParams(shard_rows=100, overlap=2, shard_limit=60, block_rows=40)
+    got = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), p, audits).collect()
+    want = plain_links(rows)
+    assert audits[-1] >= p.min_recall and sum(n for _, n, _ in want) > 1000
+    found = {r["vec_id"]: r["n_links"] for r in got}
+    assert sum(found.values()) >= 0.98 * sum(n for _, n, _ in want) and all(found[i] <= n for i, n, _ in want)
