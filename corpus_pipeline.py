@@ -1,8 +1,11 @@
 """The corpus pipeline: toxicity, language, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. ``run``
-writes each stage's result as Parquet in the shared folder and reads it again for the next. Rows are only dropped by a
-stage's own decision; null or repeated ids, null texts and extra columns pass through as the stages' operators define.
+writes each stage's result as Parquet in the shared folder and reads it again for the next.
+
+Rows are only dropped by a stage's own decision. Where an operator wants an id, a row is named by a hash of its doc_id
+and text, so a null or repeated doc_id neither joins different texts nor loses one of them; rows with equal doc_id and
+text are copies. Texts without a word are nobody's copy. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,22 +42,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("__row.*")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` as __row (all columns), __id and text, with a name of each row from its doc_id and text."""
+    return _whole_rows(docs).withColumns({"__id": F.col("__row.doc_id"), "__name": F.xxhash64("__row.doc_id", "text")})
+
+
+def _as_documents(named: DataFrame) -> DataFrame:
+    return named.select(F.col("__name").alias("doc_id"), "text")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near duplicates."""
-    classes = near_duplicates(docs)
-    known = classes.where("doc_id IS NOT NULL")
-    n, ids = known.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    others = known.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    if n == ids:
-        return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """Keep one document of each class of near duplicates: the one with the smallest id, a null id being the largest."""
+    named = _named(docs)
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[\p{L}\p{N}]")
+    texts = named.where(~wordless)
+    classes = near_duplicates(_as_documents(texts)).withColumnRenamed("doc_id", "__name").distinct()
+    members = texts.groupBy("__name").agg(F.min("__id").alias("id"), F.count("*").alias("rows")).join(classes, "__name")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__name"))
+    path = new_path(spark, "pipeline-kept")
+    kept = written(members.groupBy("class_id").agg(first.alias("first")).select(F.col("first.__name").alias("__name")).join(members.select("__name", "rows"), "__name"), path)
+    left = texts.join(kept, "__name")
+    once = left.where("rows = 1").select("__row.*")
+    # of equal rows that are kept, one: the smallest by all columns, so that every run takes the same
+    again = left.where("rows > 1").groupBy("__name").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*")
+    return once.unionByName(again).unionByName(named.where(wordless).select("__row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    leaks = search_containment(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    named = _named(docs)
+    leaks = search_containment(_as_documents(named), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__name")).distinct()
+    return named.join(leaks, "__name", "left_anti").select("__row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
