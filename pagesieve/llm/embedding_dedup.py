@@ -282,7 +282,9 @@ def similar_vectors(vectors: DataFrame, params: EmbeddingParams = EmbeddingParam
         paths.append(new_path(spark, f"embed-{name}"))
         return written(df, paths[-1])
 
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    # single-precision vectors travel as they are; all arithmetic is in double precision
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     for seed in range(0, 100, 2):
@@ -377,7 +379,7 @@ def exact_search(nodes: DataFrame, centroids: np.ndarray, dim: int, p: Embedding
                 cluster[at], away[at] = far.argmin(axis=1), far.min(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(cluster), pa.array(away)], names=["node", "copies", "embedding", "cluster", "away"])
 
-    homes = store(nodes.select("embedding", "node", "copies").mapInArrow(home, "node long, copies long, embedding array<double>, cluster int, away double"), "homes")
+    homes = store(nodes.select("embedding", "node", "copies").mapInArrow(home, f"node long, copies long, embedding {nodes.schema['embedding'].dataType.simpleString()}, cluster int, away double"), "homes")
     blocks, radius = np.zeros(odd + 1, np.int64), np.zeros(odd + 1)
     for r in homes.groupBy("cluster").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():  # one row a cluster
         blocks[r["cluster"]], radius[r["cluster"]] = -(-r["n"] // p.block_rows), r["radius"]
