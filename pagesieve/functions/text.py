@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,28 +16,47 @@ OPEN_TAG = r"(?s)<[A-Za-z][^>]*>"
 WORD = r"[\p{L}\p{N}_]+"
 EDGES = r"^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$"
 SPACE = r"[ \t\n\r\x0B\f]+"
-ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: What follows an ampersand in a character reference.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+
+
+def reference_names() -> dict[str, str]:
+    """Characters by name: HTML's Latin, symbol and special sets, and C1 numbers as browsers read them (as Windows-1252)."""
+    named = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    return named | {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
 
 
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def unescaped(t: Column) -> Column:
+    """Character references (named, decimal, hexadecimal) as the characters they stand for; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in reference_names().items() for x in pair])
+
+    def one(x, i):
+        ref = F.regexp_extract(x, REFERENCE, 1)
+        code = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("int")
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        char = F.when(bad, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        found = F.coalesce(F.try_element_at(names, F.when(code.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(ref)), F.when(F.startswith(ref, F.lit("#")), char))
+        rest = F.substring(x, F.length(ref) + 2, F.length(x))
+        return F.when(i == 0, x).when((ref == "") | found.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(found, rest))
+
+    return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), one), "")).otherwise(t)
+
+
 def html_text(html: Column) -> Column:
     """Visible text: comments, scripts, styles, templates and tags separate pieces; pieces are trimmed and joined by a space."""
     t = F.coalesce(html, F.lit(""))
     for p in (COMMENT, SCRIPT, STYLE, TEMPLATE, TAG):
         t = F.regexp_replace(t, p, BREAK)
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = unescaped(t)
     return F.array_join(F.filter(F.transform(F.split(t, BREAK), stripped), lambda x: x != ""), " ")
 
 
 def html_title(html: Column) -> Column:
-    t = stripped(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return t
+    return unescaped(stripped(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def markup(html: Column) -> Column:
@@ -74,13 +95,22 @@ def first_keyword(t: Column, keywords) -> Column:
 
 
 # The same in DuckDB's SQL, for the queries' SQL.
+def sql_unescaped(t: str) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    names = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in reference_names().items()) + "}"
+    ref = f"regexp_extract(x, '{REFERENCE}', 1)"
+    code = f"CASE WHEN {ref}[2:2] IN ('x', 'X') THEN TRY_CAST('0x' || {ref}[3:] AS INT) WHEN {ref}[1:1] = '#' THEN TRY_CAST({ref}[2:] AS INT) END"
+    char = f"CASE WHEN ({code}) = 0 OR ({code}) > 1114111 OR ({code}) BETWEEN 55296 AND 57343 THEN chr(65533) WHEN ({code}) IS NOT NULL THEN chr({code}) END"
+    found = f"coalesce({names}[coalesce('#' || CAST(({code}) AS VARCHAR), {ref})], {char})"
+    one = f"CASE WHEN i = 1 THEN x WHEN {ref} = '' OR {found} IS NULL THEN '&' || x ELSE {found} || x[length({ref}) + 2:] END"
+    return f"array_to_string(list_transform(string_split({t}, '&'), lambda x, i: {one}), '')"
+
+
 def sql_html_text(c: str) -> str:
     t = f"coalesce({c}, '')"
     for p in (COMMENT, SCRIPT, STYLE, TEMPLATE, TAG):
         t = f"regexp_replace({t}, '{p}', chr(1), 'g')"
-    for name, char in ENTITIES:
-        t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"array_to_string(list_filter(list_transform(string_split({t}, chr(1)), lambda x: regexp_replace(x, '{EDGES}', '', 'g')), lambda x: x <> ''), ' ')"
+    return f"array_to_string(list_filter(list_transform(string_split({sql_unescaped(t)}, chr(1)), lambda x: regexp_replace(x, '{EDGES}', '', 'g')), lambda x: x <> ''), ' ')"
 
 
 def sql_tokens(c: str) -> str:

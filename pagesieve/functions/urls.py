@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,41 +28,71 @@ def allowed(url: Column, schemes=URL_SCHEMES) -> Column:
     return scheme(F.trim(url)).isin(*schemes) & (netloc(F.trim(url)) != "")
 
 
+def routed(url: Column, enabled: bool = True, domains=(), suffix: str = ".onion") -> Column:
+    """Whether a URL goes through the anonymising proxy: hidden services always, and the hosts of ``domains``."""
+    host = netloc(url)
+    return F.lit(enabled) & (F.endswith(host, F.lit(suffix)) | (host.isin([d.lower() for d in domains]) if domains else F.lit(False)))
+
+
+def proxies(host: str, port: int) -> dict[str, str]:
+    """The proxy of each scheme."""
+    return {kind: f"socks5h://{host}:{port}" for kind in ("http", "https")}
+
+
 def weird_flags(url: Column) -> Column:
     u = F.coalesce(url, F.lit(""))
     flag = lambda cond, name: F.when(cond, F.lit(name))
     return F.array_compact(F.array(flag(F.contains(F.lower(u), F.lit("cgi-bin")), "cgi-bin"), flag(F.contains(u, F.lit("/~")), "tilde_home"), flag(F.startswith(u, F.lit("http://")), "insecure")))
 
 
+#: Ports that go without saying.
+DEFAULT_PORTS = {"http": "80", "https": "443"}
+
+
+def refusal(kind: str, place: str, schemes) -> str | None:
+    """Why a URL of this scheme and authority has no canonical form."""
+    if not kind:
+        return "no-scheme"
+    if schemes and kind not in schemes:
+        return f"scheme:{kind}"
+    return None if place else "no-host"
+
+
+def clean_path(path: str) -> str:
+    """Empty, ``.`` and ``..`` segments resolved; a trailing slash and exactly two leading ones stay."""
+    kept: list[str] = []
+    for part in path.split("/"):
+        if part == "..":
+            del kept[-1:]
+        elif part not in ("", "."):
+            kept.append(part)
+    if not kept:
+        return "/"
+    lead = "//" if path[:2] == "//" and path[:3] != "///" else "/"
+    return lead + "/".join(kept) + "/" * path.endswith("/")
+
+
+def clean_authority(place: str, kind: str) -> str:
+    """User as it is, host in lower case without dots at its ends, port unless it is the scheme's own."""
+    user, at, rest = place.rpartition("@")
+    host, _, port = rest.partition(":")
+    shown = [p for p in (port.strip(),) if p and p != DEFAULT_PORTS.get(kind)]
+    return user + at + ":".join([host.lower().strip("."), *shown])
+
+
 def canonical_url(url: str | None, schemes=URL_SCHEMES) -> tuple[str | None, str | None]:
     """(canonical form, None) or (None, why not)."""
     if not url:
         return None, "empty"
     try:
-        s = urlsplit(url.strip())
+        parts = urlsplit(url.strip())
     except ValueError:
         return None, "malformed"
-    kind = s.scheme.lower()
-    if not kind:
-        return None, "no-scheme"
-    if schemes and kind not in schemes:
-        return None, f"scheme:{kind}"
-    if not s.netloc:
-        return None, "no-host"
-    user, at, place = s.netloc.rpartition("@")
-    host, _, port = place.partition(":")
-    host, port = host.lower().strip("."), port.strip()
-    if port == {"http": "80", "https": "443"}.get(kind):
-        port = ""
-    path = posixpath.normpath(s.path) if s.path else "/"
-    if not path.startswith("/"):
-        path = f"/{path}"
-    if s.path.endswith("/") and not path.endswith("/"):
-        path += "/"
-    if path == "//":
-        path = "/"
-    query = urlencode(sorted(parse_qsl(s.query, keep_blank_values=True))) if s.query else ""
-    return urlunsplit((kind, f"{user}{at}{host}{':' if port else ''}{port}", path, query, "")), None
+    why = refusal(parts.scheme, parts.netloc, schemes)
+    if why:
+        return None, why
+    query = urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True)))
+    return f"{parts.scheme}://{clean_authority(parts.netloc, parts.scheme)}{clean_path(parts.path)}{'?' if query else ''}{query}", None
 
 
 @F.pandas_udf(T.StructType([T.StructField("url", T.StringType()), T.StructField("reason", T.StringType())]))

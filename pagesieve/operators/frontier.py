@@ -13,10 +13,13 @@ def clamp(c: Column) -> Column:
 
 
 def host_feedback(visits: DataFrame) -> DataFrame:
-    """Per host of visits (host, at, score, action): pulls, summed reward, hits, last score and action, hint."""
+    """Per host of visits (host, at, score, action): pulls, summed reward, hits, last score and action, hint.
+
+    The hint is the largest reward, or score_hint if ``visits`` has that column and it is larger.
+    """
     reward = clamp(F.col("score"))
     last = lambda c: F.max_by(c, F.struct("at", "id"))
-    return visits.groupBy("host").agg(F.count("*").alias("pulls"), F.sum(reward).alias("reward_sum"), F.count_if(F.col("action").isin("persist", "llm")).alias("hits"), last(reward).alias("last_score"), last(F.col("action")).alias("last_action"), F.max(reward).alias("hint"))
+    return visits.groupBy("host").agg(F.count("*").alias("pulls"), F.sum(reward).alias("reward_sum"), F.count_if(F.col("action").isin("persist", "llm")).alias("hits"), last(reward).alias("last_score"), last(F.col("action")).alias("last_action"), F.max(F.greatest(reward, clamp_or_null(F.col("score_hint"))) if "score_hint" in visits.columns else reward).alias("hint"))
 
 
 def host_failures(fails: DataFrame) -> DataFrame:
@@ -132,3 +135,36 @@ def request_gap(requests: DataFrame, interval: float) -> DataFrame:
     before = F.lag("at").over(Window.partitionBy("host").orderBy("at", "id"))
     gone = F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))
     return requests.withColumn("wait", F.when(before.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), interval - gone)))
+
+
+def promoted(jobs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(ready, delayed) of jobs with available_at: a job is ready from that moment on."""
+    ready = F.coalesce("available_at", F.lit(0.0)) <= now
+    return jobs.where(ready), jobs.where(~ready)
+
+
+def delayed(jobs: DataFrame, waits: DataFrame, now: Column) -> DataFrame:
+    """``jobs`` whose host has a wait (host, wait seconds) may be taken only after it."""
+    later = F.greatest(F.coalesce("available_at", F.lit(0.0)), now + F.col("wait"))
+    return jobs.join(waits.select("host", "wait"), "host", "left").withColumn("available_at", F.coalesce(later, "available_at")).drop("wait").select(*jobs.columns)
+
+
+def pending(ready: DataFrame, held: DataFrame) -> DataFrame:
+    """All jobs that wait: those that are ready and those that are held back; a frontier's length is its count."""
+    return ready.unionByName(held, allowMissingColumns=True)
+
+
+def inflight_metadata(taken: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, metadata) of each of ``urls``: that of its job in flight, null if there is none."""
+    return urls.select("url").join(taken.select("url", "metadata"), "url", "left")
+
+
+def jobs_to_json(jobs: DataFrame) -> DataFrame:
+    """(job): each job as a JSON object that ``jobs_from_json`` reads back."""
+    return jobs.select(F.to_json(F.struct(*jobs.columns)).alias("job"))
+
+
+def jobs_from_json(lines: DataFrame, schema: str) -> DataFrame:
+    """Jobs of JSON objects (job); gaps are filled as for a saved frontier, and objects without a URL left out."""
+    jobs = lines.select(F.from_json("job", schema).alias("j")).where(F.coalesce("j.url", F.lit("")) != "").select("j.*")
+    return jobs.fillna({c: v for c, v in {"priority": 0.0, "depth": 0, "available_at": 0.0, "host": ""}.items() if c in jobs.columns})

@@ -38,30 +38,29 @@ def with_features(pages: DataFrame, excerpt_chars: int = 500) -> DataFrame:
     return p.drop("text", "marked", *counts)
 
 
-def page_links(pages: DataFrame, exact: bool = False) -> DataFrame:
+def page_links(pages: DataFrame) -> DataFrame:
     """One row per distinct target of a page: page_id, pos, url, target, anchor_text, rel, webring; the first mention stays.
 
-    Relative targets are resolved against ``<base href>`` or the page. ``exact`` reads hrefs of every quoting, also of
-    anchors that aren't closed, and makes every target canonical by the Arrow call; otherwise only double-quoted
-    root-relative and absolute targets, which need none, are resolved natively.
+    Reads hrefs of every quoting, also of anchors that aren't closed. Relative targets are resolved against
+    ``<base href>`` or the page, and every target is canonical. Root-relative and absolute targets of a plain form are
+    resolved natively; an Arrow call gets the others only.
     """
     value = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    anchor = rf"(?is)<a(?=\s)[^>]*?(?<![\w-])href\s*=\s*{value}[^>]*>(.*?)(?=</a\s*>|<a\s|\z)" if exact else r"(?is)<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a\s*>"
+    anchor = rf"(?is)<a(?=\s)[^>]*?(?<![\w-])href\s*=\s*{value}[^>]*>(.*?)(?=</a\s*>|<a\s|\z)"
     either = lambda c, pattern: F.concat(*[F.regexp_extract(c, pattern, k) for k in (1, 2, 3)])
-    whole = F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), tx.COMMENT, ""), F.lit(anchor), F.lit(0))
     html = F.coalesce("html", F.lit(""))
-    base = either(html, rf"(?is)<base(?=\s)[^>]*?(?<![\w-])href\s*=\s*{value}") if exact else F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)
+    whole = F.regexp_extract_all(F.regexp_replace(html, tx.COMMENT, ""), F.lit(anchor), F.lit(0))
+    base = either(html, rf"(?is)<base(?=\s)[^>]*?(?<![\w-])href\s*=\s*{value}")
     rows = pages.select("page_id", "url", F.when(base != "", base).otherwise(F.col("url")).alias("base"), F.posexplode(whole).alias("pos", "a"))
-    rel = either("a", rf"(?is)<a(?=\s)[^>]*?(?<![\w-])rel\s*=\s*{value}") if exact else F.regexp_extract("a", r"(?is)<a\b[^>]*\brel\s*=\s*\"([^\"]*)\"", 1)
-    href = either("a", anchor) if exact else F.regexp_extract("a", anchor, 1)
-    rows = rows.select("page_id", "url", "base", "pos", F.trim(href).alias("href"), F.substring(tx.html_text(F.regexp_extract("a", anchor, 4 if exact else 2)), 1, 160).alias("anchor_text"), F.array_sort(F.array_distinct(F.filter(F.split(rel, r"\s+"), lambda x: x != ""))).alias("rel"))
+    rel = either("a", rf"(?is)<a(?=\s)[^>]*?(?<![\w-])rel\s*=\s*{value}")
+    rows = rows.select("page_id", "url", "base", "pos", F.trim(either("a", anchor)).alias("href"), F.substring(tx.html_text(F.regexp_extract("a", anchor, 4)), 1, 160).alias("anchor_text"), F.array_sort(F.array_distinct(F.filter(F.split(rel, r"\s+"), lambda x: x != ""))).alias("rel"))
     rows = rows.where((F.col("href") != "") & ~F.startswith("href", F.lit("#")))
-    if exact:
-        rows = ur.with_canonical(rows.withColumn("joined", ur.join_udf(F.col("base"), F.col("href"))), "joined", "target").drop("joined", "target_reason")
-    else:
-        host = F.concat(ur.scheme(F.col("base")), F.lit("://"), ur.netloc(F.col("base")))
-        href = F.regexp_replace("href", "#.*$", "")
-        rows = rows.withColumn("target", F.when(F.startswith("href", F.lit("/")) & ~F.startswith("href", F.lit("//")), F.concat(host, href)).when(F.col("href").rlike("^https?://"), href))
+    origin = F.concat(ur.scheme(F.col("base")), F.lit("://"), ur.netloc(F.col("base")))
+    plain = F.when(F.col("href").rlike(r"^/(?!/)[^?#&]*$") & F.col("base").rlike(r"^(?i:https?)://[^&]*$"), F.concat(origin, "href")).when(F.col("href").rlike(r"^(?i:https?)://[^?#&]*$"), F.col("href"))
+    rows = rows.withColumn("plain", plain)
+    asked = rows.where(F.col("plain").isNull()).withColumn("joined", ur.join_udf(F.col("base"), F.col("href")))
+    rows = rows.where(F.col("plain").isNotNull()).withColumn("joined", F.col("plain")).unionByName(asked)
+    rows = ur.with_canonical(rows, "joined", "target").drop("plain", "joined", "target_reason")
     rows = rows.where(F.col("target").isNotNull())
     first = rows.groupBy("page_id", "target").agg(F.min(F.struct("pos", "url", "anchor_text", "rel")).alias("m"))
     out = first.select("page_id", "m.pos", "m.url", "target", "m.anchor_text", "m.rel")
@@ -181,6 +180,14 @@ def cascade(pages: DataFrame, s: CascadeSettings = CascadeSettings(), pre: Prefi
     return p.select("page_id", F.element_at(F.array(*[F.lit(n) for n in STAGES], F.lit(None)), stopped + 1).alias("stage"), F.coalesce(*reasons).alias("reason"), F.when((stopped > 2), F.col("override")).alias("override"), F.when(stopped >= 5, F.col("probability")).alias("probability"), F.col("fp").alias("fingerprint"), stages.alias("stages"))
 
 
+def cascade_metrics(decisions: DataFrame) -> DataFrame:
+    """One row: skips, passes, pages with any warning, and how often each override was given."""
+    warned = F.exists("stages", lambda s: F.endswith(s, F.lit(":warn")))
+    per = decisions.groupBy("override").agg(F.count("*").alias("n"), F.count_if(F.col("stage").isNotNull()).alias("skips"), F.count_if(F.col("stage").isNull()).alias("passes"), F.count_if(warned).alias("warns"))
+    tally = F.collect_list(F.when(F.col("override").isNotNull() & (F.col("warns") > 0), F.struct("override", F.col("warns").alias("n"))))  # one entry an override
+    return per.agg(F.coalesce(F.sum("skips"), F.lit(0)).alias("skips"), F.coalesce(F.sum("passes"), F.lit(0)).alias("passes"), F.coalesce(F.sum("warns"), F.lit(0)).alias("warns"), F.map_from_entries(F.array_sort(tally)).alias("overrides"))
+
+
 def stage_counts(decisions: DataFrame) -> DataFrame:
     """Pages per stage and status."""
     each = decisions.select(F.explode("stages").alias("s"))

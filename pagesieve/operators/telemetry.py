@@ -22,13 +22,21 @@ def summary(events: DataFrame) -> DataFrame:
     return counts.select(
         "pages", "skip", "persist", "llm", "illegal_skipped", F.round(per(F.col("score_sum")), 4).alias("average_score"), F.round(per(F.col("persist") + F.col("llm")), 4).alias("odd_hit_ratio"),
         F.round(per(F.col("duration_ms")), 4).alias("average_fetch_ms"), F.round(per(F.col("bytes") / 1024), 4).alias("kib_per_page"), F.round(F.col("bytes") / (1024 * 1024), 4).alias("mib"),
-        seconds.cast("long").alias("elapsed_seconds"), F.round(F.try_divide(F.col("pages") * 60.0, F.nullif(seconds, F.lit(0))), 4).alias("pages_per_minute"),
+        seconds.cast("long").alias("elapsed_seconds"), F.round(F.try_divide(F.col("pages") * 3600.0, F.nullif(seconds, F.lit(0))), 4).alias("pages_per_hour"), F.round(F.try_divide(F.col("pages") * 60.0, F.nullif(seconds, F.lit(0))), 4).alias("pages_per_minute"),
     )
 
 
-def top(events: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """The k most frequent values; ties by value."""
-    return events.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+def hourly_cap(metrics: DataFrame) -> DataFrame:
+    """How often the hourly cap was met and the last wait for it, of saved metrics; zeros where they are missing."""
+    have = set(metrics.columns)
+    pick = lambda c, zero: (F.coalesce(F.col(c), F.lit(zero)) if c in have else F.lit(zero))
+    return metrics.select(pick("llm_hourly_cap_hits", 0).alias("cap_hits"), pick("last_llm_hourly_wait_seconds", 0.0).alias("last_wait_seconds"))
+
+
+def top(events: DataFrame, column: str, k: int = 10, order: str | None = None) -> DataFrame:
+    """The k most frequent values; ties by the first ``order`` at which a value is seen, if it is given, then by value."""
+    found = events.groupBy(column).agg(F.count("*").alias("n"), *([F.min(order).alias("__first")] if order else []))
+    return found.orderBy(F.desc("n"), *(["__first"] if order else []), column).limit(k).select(column, "n")
 
 
 def running(events: DataFrame, key: str) -> DataFrame:

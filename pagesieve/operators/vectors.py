@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesieve.operators.components import connected_components
+from pagesieve.storage import stored
 
 #: Queries of one pass; more are searched in as many passes as it takes.
 QUERY_BLOCK = 20_000
@@ -72,10 +73,14 @@ def _pass(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: st
                     with np.errstate(divide="ignore", invalid="ignore"):
                         near = -np.nan_to_num(d / np.sqrt(qn[a : a + 2000, None] * vn[None, :]), nan=-1.0)
                 m = min(k, near.shape[1])
-                # all that tie with the k-th stay, so that ties are broken by id at the end
+                # all that may tie with the k-th are looked at exactly
                 cut = np.partition(near, m - 1, axis=1)[:, m - 1 : m] + 1e-9
                 i, j = np.nonzero(near <= cut)
                 exact = np.einsum("ij,ij->i", q[a + i] - v[j], q[a + i] - v[j]) if metric == "l2" else -near[i, j]
+                order = np.lexsort((vid[j], exact if metric == "l2" else -exact, i))  # of ties the smallest ids
+                i, j, exact = i[order], j[order], exact[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j, exact = i[best], j[best], exact[best]
                 yield pd.DataFrame({"query_id": ids[a + i], "vec_id": vid[j], "value": exact})
 
     return vectors.select("vec_id", "embedding").mapInPandas(search, "query_id long, vec_id long, value double")
@@ -89,7 +94,15 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     top, size = store.agg(F.coalesce(F.max("vec_id"), F.lit(-1)), F.max(F.size("embedding"))).first()
     given = new.where("vec_id IS NOT NULL")
     top = max(top, given.agg(F.coalesce(F.max("vec_id"), F.lit(-1))).first()[0])
-    fresh = new.where("vec_id IS NULL").select((F.row_number().over(Window.orderBy(F.xxhash64("embedding"))) + top).cast("long").alias("vec_id"), "embedding")  # new ids are one sequence
+    # new ids are one sequence in the order of a hash: numbered within ranges of it, from where the range before ends
+    ranged = new.where("vec_id IS NULL").select("embedding", F.xxhash64("embedding").alias("h")).repartitionByRange("h").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "new-vectors")
+    sizes = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # one row a range
+    start, first = {}, top
+    for part, count in sizes:
+        start[part], first = first, first + count
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in start.items() for x in pair]), F.col("part")) if start else F.lit(top)
+    fresh = ranged.select((F.row_number().over(Window.partitionBy("part").orderBy("h")) + base).cast("long").alias("vec_id"), "embedding")
     added = given.select("vec_id", "embedding").unionByName(fresh)
     if size:
         added = added.withColumn("embedding", F.when(F.size("embedding") == size, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector must have {size} components")).cast(added.schema["embedding"].dataType)))

@@ -51,8 +51,7 @@ def page_features(spark, d):
 
 
 TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g')"
-for _name, _char in tx.ENTITIES:
-    TITLE = f"replace({TITLE}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+TITLE = tx.sql_unescaped(TITLE)
 
 
 @query("page_title_excerpt", f"SELECT page_id, {TITLE} AS title, left({TEXT}, 500) AS text_excerpt FROM pages")
@@ -88,10 +87,10 @@ def tor_route(spark, d):
     return table(spark, d, "pages").select("page_id", (F.endswith(host, F.lit(".org")) | host.isin("tionsh.example.net")).alias("routed"))
 
 
-@query("url_canonical", f"SELECT page_id, split_part(url, ':', 1) || '://' || {NETLOC.format('url')} || coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1), ''), '/') AS url_canonical FROM pages WHERE NOT contains(url, '?')")
+@query("url_canonical", f"SELECT page_id, split_part(url, ':', 1) || '://' || {NETLOC.format('url')} || coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1), ''), '/') || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(string_split(split_part(split_part(url, '#', 1), '?', 2), '&')), '&') ELSE '' END AS url_canonical FROM pages")
 def url_canonical(spark, d):
     got = ur.with_canonical(table(spark, d, "pages").select("page_id", "url"))
-    return got.where(~F.contains("url", F.lit("?"))).select("page_id", "url_canonical")
+    return got.select("page_id", "url_canonical")
 
 
 @query("url_canonical_all")
@@ -246,19 +245,19 @@ l AS (SELECT page_id, url, target, arg_min(anchor_text, pos) AS anchor_text, min
 
 @query("page_links", f"WITH {LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, target, anchor_text FROM l")
 def page_links(spark, d):
-    return op.page_links(table(spark, d, "pages"), exact=True).select("page_id", "pos", "target", "anchor_text")
+    return op.page_links(table(spark, d, "pages")).select("page_id", "pos", "target", "anchor_text")
 
 
 @query("outbound_counts", f"WITH {LINKS} SELECT p.page_id, count(target) AS outbound_count, count(DISTINCT {NETLOC.format('target')}) AS outbound_domains, count(*) FILTER (contains(lower(anchor_text), 'webring') OR contains(lower(target), 'webring')) AS webring_hits FROM pages p LEFT JOIN l USING (page_id) GROUP BY 1")
 def outbound_counts(spark, d):
     p = table(spark, d, "pages")
-    return op.outbound_counts(p, op.page_links(p, exact=True)).drop("has_webring")
+    return op.outbound_counts(p, op.page_links(p)).drop("has_webring")
 
 
 @query("same_domain_ratio", f"WITH {LINKS} SELECT p.page_id, round(avg(CASE WHEN {NETLOC.format('target')} = {NETLOC.format('p.url')} THEN 1.0 ELSE 0.0 END) FILTER (target IS NOT NULL), 6) AS ratio FROM pages p LEFT JOIN l USING (page_id) GROUP BY 1")
 def same_domain_ratio(spark, d):
     p = table(spark, d, "pages")
-    return op.same_domain_ratio(p, op.page_links(p, exact=True)).withColumn("ratio", F.round("ratio", 6))
+    return op.same_domain_ratio(p, op.page_links(p)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("fused_score", f"WITH {FEATURES} SELECT page_id, CAST(round(score, 6) AS DOUBLE) AS score, CASE WHEN score >= 0.6 THEN 'llm' WHEN score >= 0.35 THEN 'persist' ELSE 'skip' END AS action FROM z")

@@ -52,6 +52,64 @@ def frontier_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return jobs, s.select(F.explode("s.seen").alias("url"))
 
 
+NODE_LINK = "nodes array<map<string,string>>, links array<struct<source:string, target:string, weight:double, last_seen:string, anchor_texts:array<string>, rel:array<string>>>"
+
+
+def link_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a node-link JSON object: node with its attributes as a map, and src, dst with the link's own."""
+    g = spark.read.text(path, wholetext=True).select(F.from_json("value", NODE_LINK).alias("g"))
+    nodes = g.select(F.explode("g.nodes").alias("a")).select(F.col("a")["id"].alias("node"), F.map_filter("a", lambda k, _: k != "id").alias("attributes")).where("node IS NOT NULL")
+    edges = g.select(F.inline("g.links")).withColumnsRenamed({"source": "src", "target": "dst"}).where("src IS NOT NULL AND dst IS NOT NULL")
+    return nodes, edges.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+
+def artefacts(spark: SparkSession, run: str) -> dict[str, str]:
+    """Paths of a run's artefacts that exist, by name."""
+    places = {"summary": "reports/summary.json", "metrics": "metrics.json", "telemetry": "telemetry.jsonl", "frontier": "state/frontier.json"}
+    return {name: f"{run}/{place}" for name, place in places.items() if exists(spark, f"{run}/{place}")}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def contained(root: str, path: str) -> str:
+    """``path`` with its dots resolved, if it is inside ``root``; else a ValueError."""
+    import posixpath
+
+    top, p = posixpath.normpath(root), posixpath.normpath(path if "://" in path or path.startswith("/") else posixpath.join(root, path))
+    if p != top and not p.startswith(top.rstrip("/") + "/"):
+        raise ValueError(f"{path} is outside {root}")
+    return p
+
+
+def run_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Runs below ``root`` (run_id, pages, updated), latest first: of each value the summary's, else the metrics'.
+
+    A run is a folder with metrics.json or reports/summary.json; files that can't be read count as missing.
+    """
+    fields = "run_id string, pages bigint, updated string"
+
+    def of(place):
+        found = spark.read.option("pathGlobFilter", place.rpartition("/")[2]).option("recursiveFileLookup", "true").text(root, wholetext=True)
+        name = F.regexp_extract(F.input_file_name(), rf"([^/]+)/{place}$", 1)
+        read = found.select(name.alias("folder"), F.from_json(json_object(F.col("value")), fields).alias("j")).where("folder <> ''")
+        return read.select(F.coalesce("j.run_id", "folder").alias("run_id"), "j.pages", "j.updated")
+
+    s, m = of("reports/summary.json").alias("s"), of("metrics.json").alias("m")
+    pick = lambda c: F.coalesce(f"s.{c}", f"m.{c}").alias(c)
+    return s.join(m, "run_id", "full_outer").select("run_id", pick("pages"), pick("updated")).orderBy(F.desc_nulls_last("updated"), "run_id")
+
+
+def run_row(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """The row of one run; a KeyError if there is none."""
+    found = run_rows(spark, root).where(F.col("run_id") == run_id)
+    if not found.limit(1).count():
+        raise KeyError(run_id)
+    return found
+
+
 def failure_cache(spark: SparkSession, path: str, now, expiry_seconds: float | None = None) -> DataFrame:
     """Unexpired failure entries from JSON lines; corrupt lines are left out."""
     j = spark.read.schema(FAILURES).json(path, mode="DROPMALFORMED").where("url IS NOT NULL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests, a laptop) a local folder takes its place."""
+    """``spark.checkpoint.dir``; only where it is unset and Spark runs in one process (tests, a laptop) a local folder takes its place."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='pagesieve-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagesieve.config import FrontierSettings
+from pagesieve.storage import shared_root
 
 
 def actions_per_window(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -36,6 +37,7 @@ def token_buckets(requests: DataFrame, s: FrontierSettings = FrontierSettings())
     """Requests (host, at in seconds, failed) with granted: a token bucket and a backoff after failures for each host.
 
     A host's requests of a batch are taken in order of time; state is (tokens, updated, backoff).
+    State is three numbers a host and is kept as long as the stream.
     """
     capacity, refill, cooldown = s.host_token_capacity, s.host_refill_seconds, s.failure_cooldown_seconds
 
@@ -68,14 +70,24 @@ def failure_cache(failures: DataFrame, expiry: str = "7 days") -> DataFrame:
     return failures.withWatermark("ts", expiry).groupBy(F.session_window("ts", expiry).alias("w"), "url").agg(F.count("*").alias("count"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max_by("status", "ts").alias("status")).select("url", "count", "first", "last", "status")
 
 
-def drained(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is available into a memory table; returns the table."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
+def drained(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """Run a stream over all that is available into a table in the shared folder; returns the table.
+
+    In complete mode each batch's snapshot takes the place of the one before. With ``checkpoint`` and ``path`` of an
+    earlier run the stream goes on where that one ended.
+    """
+    spark = df.sparkSession
+    root = f"{shared_root(spark)}/{name}"
+    path, checkpoint = path or f"{root}/table", checkpoint or f"{root}/checkpoint"
+    w = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    if mode == "append":
+        w = w.format("parquet").option("path", path)
+    else:
+        spark.createDataFrame([], df.schema).write.mode("ignore").parquet(path)
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
     q = w.start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path)

@@ -129,3 +129,74 @@ def test_triage_with_an_analyst(spark):
     assert [(c["category"], c["reason"]) for c in crumbs] == [("violent", "calls")]
     s = tr.with_summaries(p.select("url", F.col("html").alias("text_excerpt")).limit(1), lambda ps: ["x" * 900 for _ in ps]).first()
     assert len(s["flash_summary"]) == 500
+
+
+def test_graph_and_frontier_files_round_trip(spark, tmp_path):
+    from pagesieve.sources import files, sinks
+
+    nodes = spark.createDataFrame([("a", {"title": "A"}), ("b", {})], "node string, attributes map<string,string>")
+    edges = spark.createDataFrame([("a", "b", 2.0, "2024-01-01", ["x"], ["next"])], "src string, dst string, weight double, last_seen string, anchor_texts array<string>, rel array<string>")
+    sinks.link_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = files.link_graph(spark, str(tmp_path / "g"))
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.collect())) and [tuple(r) for r in e.select(*edges.columns).collect()] == [tuple(r) for r in edges.collect()]
+    jobs = spark.createDataFrame([(0.5, 1, "h", "u", 2, "d", {"k": "v"}, 3.0)], files.JOB.removeprefix("struct<").removesuffix(">").replace(":", " "))
+    sinks.frontier_state(jobs, spark.createDataFrame([("u",), ("u",), ("v",)], "url string"), str(tmp_path / "f"))
+    j, seen = files.frontier_state(spark, str(tmp_path / "f"))
+    assert j.collect() == jobs.collect() and sorted(r["url"] for r in seen.collect()) == ["u", "v"]
+
+
+def test_snapshots_are_swapped_only_when_they_differ(spark, tmp_path):
+    from pagesieve.sources import sinks
+
+    path, a, b = str(tmp_path / "s"), spark.range(3), spark.range(4)
+    assert [sinks.swapped(x, path) for x in (a, a, b)] == [True, False, True]
+    assert spark.read.parquet(path).count() == 4 and sorted(p.name for p in tmp_path.iterdir()) == ["s"]
+
+
+def test_runs_of_a_folder(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from pagesieve.sources import files
+
+    def put(run, place, value):
+        p = tmp_path / run / place
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(value if isinstance(value, str) else json.dumps(value))
+
+    put("r1", "metrics.json", {"pages": 3, "updated": "2024-01-01"})
+    put("r2", "metrics.json", {"pages": 5, "updated": "2024-02-01"})
+    put("r2", "reports/summary.json", {"pages": 6})
+    put("r3", "metrics.json", "{ broken")
+    got = [tuple(r) for r in files.run_rows(spark, str(tmp_path)).collect()]
+    assert got == [("r2", 6, "2024-02-01"), ("r1", 3, "2024-01-01"), ("r3", None, None)]
+    assert files.run_row(spark, str(tmp_path), "r1").first()["pages"] == 3
+    with pytest.raises(KeyError):
+        files.run_row(spark, str(tmp_path), "zz")
+    assert set(files.artefacts(spark, str(tmp_path / "r2"))) == {"metrics", "summary"}
+    assert files.contained("/a/b", "c/../d") == "/a/b/d"
+    for bad in ("../x", "/a/bc", "/etc"):
+        with pytest.raises(ValueError):
+            files.contained("/a/b", bad)
+
+
+def test_hourly_cap_and_first_seen_ties(spark):
+    from pagesieve.operators import telemetry as te
+
+    assert tuple(te.hourly_cap(spark.createDataFrame([(4,)], "llm_hourly_cap_hits int")).first()) == (4, 0.0)
+    e = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3), ("c", 4)], "reason string, at int")
+    assert [r["reason"] for r in te.top(e, "reason", 3, "at").collect()] == ["c", "b", "a"]
+    assert [r["reason"] for r in te.top(e, "reason", 3).collect()] == ["c", "a", "b"]
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    from pagesieve.streaming import streams as st
+
+    rows = lambda a, b: spark.range(a, b).select(F.timestamp_seconds(F.col("id") + 1_000_000).alias("ts"), F.col("id").cast("string").alias("fp"))
+    rows(0, 3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows(0, 1).schema).parquet(str(tmp_path / "in"))
+    run = lambda: st.drained(st.first_of_fingerprint(stream()), "t_on", checkpoint=str(tmp_path / "c"), path=str(tmp_path / "out")).count()
+    assert run() == 3
+    rows(2, 6).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == 6
