@@ -9,6 +9,7 @@ from pagesieve.functions import fingerprints as fp
 from pagesieve.functions import text as tx
 from pagesieve.functions import urls as ur
 from pagesieve.operators import pages as op
+from pagesieve.storage import stored
 
 QUERIES, SQL = {}, {}
 
@@ -201,6 +202,7 @@ def simhash_near_pairs(spark, d):
     of parts (25 or 26 bits). Equal fingerprints are one row with their smallest id: groups of copies aren't paired off.
     """
     p = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", fp.simhash64(F.col("text")).alias("fp")).where("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    p = stored(p, "fingerprints")  # both sides of the join read it
     parts = [F.shiftrightunsigned("fp", 13 * i).bitwiseAND(8191) for i in range(5)]
     keys = [F.shiftleft(parts[i], 13).bitwiseOR(parts[j]) for i in range(5) for j in range(i)]
     q = p.select("doc_id", "fp", F.posexplode(F.array(*keys)).alias("k", "v"))
