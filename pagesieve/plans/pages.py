@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagesieve.config import ODD_KEYWORDS, RETRO_TAGS, CascadeSettings, PrefilterSettings
+from pagesieve.config import ILLEGAL_KEYWORDS, ODD_KEYWORDS, RETRO_TAGS, CascadeSettings, PrefilterSettings
 from pagesieve.functions import fingerprints as fp
 from pagesieve.functions import text as tx
 from pagesieve.functions import urls as ur
@@ -88,20 +88,28 @@ def tor_route(spark, d):
     return table(spark, d, "pages").select("page_id", (F.endswith(host, F.lit(".org")) | host.isin("tionsh.example.net")).alias("routed"))
 
 
-@query("url_canonical", f"SELECT page_id, split_part(url, ':', 1) || '://' || {NETLOC.format('url')} || coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1), ''), '/') || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(string_split(split_part(split_part(url, '#', 1), '?', 2), '&')), '&') ELSE '' END AS url_canonical FROM pages")
+CANONICAL = f"split_part(url, ':', 1) || '://' || {NETLOC.format('url')} || coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1), ''), '/') || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(string_split(split_part(split_part(url, '#', 1), '?', 2), '&')), '&') ELSE '' END"
+
+
+@query("url_canonical", f"SELECT page_id, {CANONICAL} AS url_canonical FROM pages")
 def url_canonical(spark, d):
     got = ur.with_canonical(table(spark, d, "pages").select("page_id", "url"))
     return got.select("page_id", "url_canonical")
 
 
-@query("url_canonical_all")
+@query("url_canonical_all", f"SELECT page_id, {CANONICAL} AS url_canonical, CASE WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'no-scheme' WHEN {NETLOC.format('url')} = '' THEN 'no-host' END AS url_canonical_reason FROM pages")
 def url_canonical_all(spark, d):
     return ur.with_canonical(table(spark, d, "pages").select("page_id", "url")).select("page_id", "url_canonical", "url_canonical_reason")
 
 
-SNIPPET = "(SELECT string_agg(c, '' ORDER BY i) FROM (SELECT c, i, sum(octet_length(encode(c))) OVER (ORDER BY i) AS b FROM (SELECT unnest(string_split(html, '')) AS c, unnest(range(length(html))) AS i)) WHERE b <= 8192)"
+def sql_snippet(size: int) -> str:
+    """The first bytes of html as text, without a character that the cut splits."""
+    chars = f"(SELECT c, i, sum(octet_length(encode(c))) OVER (ORDER BY i) AS b FROM (SELECT unnest(string_split(left(html, {size}), '')) AS c, unnest(range(length(left(html, {size})))) AS i))"
+    return f"CASE WHEN octet_length(encode(html)) <= {size} THEN html ELSE (SELECT string_agg(c, '' ORDER BY i) FROM {chars} WHERE b <= {size}) END"
+
+
 METRICS = f"""
-n AS (SELECT page_id, url, html, CASE WHEN octet_length(encode(html)) <= 8192 THEN html ELSE {SNIPPET} END AS sn FROM pages),
+n AS (SELECT page_id, url, html, {sql_snippet(8192)} AS sn FROM pages),
 t AS (SELECT page_id, url, html, sn, {tx.sql_html_text('sn')} AS t, {tx.sql_markup('sn')} AS m FROM n),
 c AS (SELECT page_id, url, html, sn, t, {tx.sql_tokens('t')} AS tokens, greatest({tx.sql_tags('m')}, 1) AS tags, {tx.sql_tags('m', 'a')} AS anchors, {tx.sql_tags('m', 'script')} AS scripts,
   {tx.sql_tags('m', 'marquee')} + {tx.sql_tags('m', 'blink')} + {tx.sql_tags('m', 'font')} + {tx.sql_tags('m', 'center')} AS retro FROM t),
@@ -170,21 +178,21 @@ def cascade_stage_counts(spark, d):
 
 
 VOTES = r"""
-w AS (SELECT {id}, unnest(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')) AS w FROM {src}),
-c AS (SELECT {id}, w, count(*) AS n FROM w GROUP BY 1, 2),
-h AS (SELECT w, right(sha256('\x00\x00\x00\x00'::BLOB || encode(w)), 16) AS h FROM (SELECT DISTINCT w FROM c)),
-v AS (SELECT w, i, (CAST(('0x' || h[1 + i // 4]) AS INTEGER) >> (3 - i % 4)) & 1 AS bit FROM h, range(64) r(i)),
-b AS (SELECT {id}, i, sum(CASE WHEN bit = 1 THEN n ELSE -n END) >= 0 AS on_ FROM c JOIN v USING (w) GROUP BY 1, 2),
-f AS (SELECT {id}, string_agg(CASE WHEN on_ THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM b GROUP BY 1)
+sim_w AS (SELECT {id}, unnest(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')) AS w FROM {src}),
+sim_c AS (SELECT {id}, w, count(*) AS n FROM sim_w GROUP BY 1, 2),
+sim_h AS (SELECT w, right(sha256('\x00\x00\x00\x00'::BLOB || encode(w)), 16) AS h FROM (SELECT DISTINCT w FROM sim_c)),
+sim_v AS (SELECT w, i, (CAST(('0x' || h[1 + i // 4]) AS INTEGER) >> (3 - i % 4)) & 1 AS bit FROM sim_h, range(64) r(i)),
+sim_b AS (SELECT {id}, i, sum(CASE WHEN bit = 1 THEN n ELSE -n END) >= 0 AS on_ FROM sim_c JOIN sim_v USING (w) GROUP BY 1, 2),
+sim AS (SELECT {id}, string_agg(CASE WHEN on_ THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM sim_b GROUP BY 1)
 """
 
 
-@query("doc_simhash", "WITH " + VOTES.format(id="doc_id", t="text", src="documents") + " SELECT d.doc_id, coalesce(bits, repeat('0', 64)) AS bits FROM documents d LEFT JOIN f USING (doc_id)")
+@query("doc_simhash", "WITH " + VOTES.format(id="doc_id", t="text", src="documents") + " SELECT d.doc_id, coalesce(bits, repeat('0', 64)) AS bits FROM documents d LEFT JOIN sim USING (doc_id)")
 def doc_simhash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lpad(F.bin(fp.simhash64(F.col("text"))), 64, "0").alias("bits"))
 
 
-@query("simhash_dedupe", "WITH " + VOTES.format(id="doc_id", t="text", src="documents") + " SELECT doc_id, row_number() OVER (PARTITION BY bits ORDER BY doc_id) > 1 AS duplicate FROM (SELECT d.doc_id, coalesce(bits, '0') AS bits FROM documents d LEFT JOIN f USING (doc_id))")
+@query("simhash_dedupe", "WITH " + VOTES.format(id="doc_id", t="text", src="documents") + " SELECT doc_id, row_number() OVER (PARTITION BY bits ORDER BY doc_id) > 1 AS duplicate FROM (SELECT d.doc_id, coalesce(bits, '0') AS bits FROM documents d LEFT JOIN sim USING (doc_id))")
 def simhash_dedupe(spark, d):
     """Exact repetition of a fingerprint, by arrival; the first is aggregated and joined back, so a hot one is no task's work."""
     p = table(spark, d, "documents").select("doc_id", fp.simhash64(F.col("text")).alias("fp"))
@@ -192,7 +200,7 @@ def simhash_dedupe(spark, d):
     return p.join(first, "fp").select("doc_id", (F.col("doc_id") != F.col("first")).alias("duplicate"))
 
 
-@query("simhash_near_pairs", "WITH " + VOTES.format(id="doc_id", t="text", src="documents") + """, g AS (SELECT bits, min(doc_id) AS doc_id FROM f GROUP BY bits)
+@query("simhash_near_pairs", "WITH " + VOTES.format(id="doc_id", t="text", src="documents") + """, g AS (SELECT bits, min(doc_id) AS doc_id FROM sim GROUP BY bits)
 SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_filter(range(1, 65), lambda i: a.bits[i] <> b.bits[i])) AS INTEGER) AS distance FROM g a JOIN g b ON a.doc_id < b.doc_id
 WHERE len(list_filter(range(1, 65), lambda i: a.bits[i] <> b.bits[i])) <= 3""")
 def simhash_near_pairs(spark, d):
@@ -311,10 +319,40 @@ def shard_keys(spark, d):
     return table(spark, d, "pages").select("page_id", F.substring(F.sha2("url", 256), 1, 2).alias("shard"), F.concat(at, F.lit("_"), F.sha2("url", 256)).alias("name"))
 
 
-@query("page_outcomes")
+def sql_illegal(t: str) -> str:
+    return "list_filter(" + words(*sorted(ILLEGAL_KEYWORDS)) + f", lambda k: contains(lower(coalesce({t}, '')), k))"
+
+
+PRE, GATES = PrefilterSettings(), CascadeSettings()
+OUTCOMES = f"""
+{METRICS},
+il AS (SELECT page_id, {sql_illegal('html')} AS ks FROM pages),
+g1 AS (SELECT k.*, octet_length(encode(coalesce(html, ''))) AS size, 1 / (1 + exp(-({LOGIT}))) AS prob,
+  CASE WHEN text_density < {GATES.min_text_density} THEN CASE WHEN tokens >= {GATES.density_token_override} THEN 'token' WHEN snippet_retro >= {GATES.retro_override_score} THEN 'retro' WHEN anchor_ratio >= {GATES.density_anchor_override} THEN 'anchor' WHEN odd_keyword THEN 'keyword' WHEN tokens > {GATES.density_skip_token_cap} THEN 'low_density' END END AS ov,
+  {tx.sql_first_keyword('sn', GATES.boring_keywords)} AS kw, {sql_snippet(1200)} AS excerpt, {sql_snippet(2048)} AS lead FROM k JOIN il USING (page_id) WHERE len(ks) = 0),
+g2 AS (SELECT *, CASE WHEN size < {GATES.min_content_length} THEN 'content-length<{GATES.min_content_length}' WHEN size > {GATES.max_content_length} THEN 'content-length>{GATES.max_content_length}' WHEN html IS NULL THEN 'body-missing' WHEN regexp_replace(sn, '{tx.EDGES}', '', 'g') = '' THEN 'empty-snippet'
+  WHEN script_ratio > {GATES.max_script_ratio} THEN 'script-ratio>{GATES.max_script_ratio}' WHEN anchor_ratio > {GATES.max_anchor_ratio} THEN 'anchor-ratio>{GATES.max_anchor_ratio}' WHEN text_density < {GATES.min_text_density} AND ov IS NULL THEN 'text-density<{GATES.min_text_density}' WHEN kw IS NOT NULL THEN 'keyword:' || lower(kw) END AS early,
+  CASE WHEN prob < {GATES.classifier_threshold} THEN 'classifier<{GATES.classifier_threshold}' END AS r6, len(regexp_extract_all(lead, '{tx.WORD}')) AS words FROM g1),
+g3 AS (SELECT page_id, sn FROM g2 WHERE early IS NULL),
+{VOTES.format(id="page_id", t="sn", src="g3")},
+g4 AS (SELECT page_id, row_number() OVER (PARTITION BY coalesce(bits, '0') ORDER BY page_id) > 1 AS again FROM g3 LEFT JOIN sim USING (page_id)),
+g5 AS (SELECT page_id, coalesce(early, CASE WHEN again THEN 'simhash-duplicate' END, r6, nullif(concat_ws(';', CASE WHEN words > 0 AND words < {PRE.min_token_count} THEN 'token_count<{PRE.min_token_count}' END, 'keyword:' || {tx.sql_first_keyword('excerpt', PRE.boring_keywords)}), '')) AS stop FROM g2 LEFT JOIN g4 USING (page_id)),
+{FEATURES},
+y AS (SELECT page_id, score, {sql_illegal('left(t, 500)')} AS late,
+  list_filter([{", ".join(f"CASE WHEN {tx.sql_tags('m', t)} > 0 THEN '{t}' END" for t in RETRO_TAGS)}], lambda x: x IS NOT NULL) AS signals, flags FROM z),
+o AS (SELECT page_id, p.url, ks, stop, late, score, array_to_string(list_filter(['retro HTML signals: ' || nullif(array_to_string(signals, ', '), ''), 'url oddities: ' || nullif(array_to_string(flags, ', '), '')], lambda x: x IS NOT NULL), '; ') AS why
+  FROM pages p JOIN il USING (page_id) LEFT JOIN g5 USING (page_id) JOIN y USING (page_id))
+SELECT page_id, url, CASE WHEN len(ks) > 0 THEN 'illegal' WHEN stop IS NOT NULL THEN 'cascade' WHEN len(late) > 0 THEN 'illegal' ELSE 'scored' END AS outcome,
+  CASE WHEN len(ks) > 0 THEN array_to_string(ks[1:5], '; ') WHEN stop IS NOT NULL THEN stop WHEN len(late) > 0 THEN array_to_string(late[1:5], '; ') ELSE why END AS reason,
+  CASE WHEN len(ks) = 0 AND stop IS NULL AND len(late) = 0 THEN CAST(round(score, 6) AS DOUBLE) END AS score,
+  CASE WHEN len(ks) > 0 OR stop IS NOT NULL OR len(late) > 0 OR score < 0.35 THEN 'skip' WHEN score >= 0.6 THEN 'llm' ELSE 'persist' END AS action FROM o
+"""
+
+
+@query("page_outcomes", f"WITH {OUTCOMES}")
 def page_outcomes(spark, d):
-    """Flagship: what becomes of every page, by the production settings."""
-    return op.outcomes(table(spark, d, "pages"))
+    """Flagship: what becomes of every page, by the production settings with every stage on; scores to six places."""
+    return op.outcomes(table(spark, d, "pages")).withColumn("score", F.round("score", 6))
 
 
 @query("outcome_union", f"WITH {TIGHT_SQL}, {FEATURES} SELECT q.page_id, CASE WHEN coalesce(r1, r3, r4, r6) IS NOT NULL THEN 'cascade' ELSE 'scored' END AS outcome, CASE WHEN coalesce(r1, r3, r4, r6) IS NULL THEN CAST(round(score, 6) AS DOUBLE) END AS score FROM q JOIN z USING (page_id)")
