@@ -22,24 +22,31 @@ def simhash(text: str, bits: int = 64) -> int:
     """Sign of the summed bit votes of all words; a tie sets the bit; no words give 0."""
     if bits not in (32, 64, 128):
         raise ValueError("bits must be 32, 64 or 128")
-    words = TOKEN.findall(text.lower())
-    return _signed_votes(words, bits, {}) if words else 0
-
-
-def _signed_votes(words: list[str], bits: int, cache: dict) -> int:
-    votes = np.zeros(bits, dtype=np.int64)
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    rows = []
-    for w in counts:
-        v = cache.get(w)
-        if v is None:
-            raw = hashlib.sha256(b"\0\0\0\0" + w.encode()).digest()[-bits // 8 :]
-            v = cache[w] = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.int8) * 2 - 1
-        rows.append(v)
-    votes = np.fromiter(counts.values(), np.int64, len(counts)) @ np.stack(rows).astype(np.int64)
-    return int.from_bytes(np.packbits(votes >= 0).tobytes(), "big")
+    return int.from_bytes(signed_votes([TOKEN.findall(text.lower())], bits)[0].tobytes(), "big")
+
+
+#: Pairs of a text and a distinct word of it whose votes are summed at once.
+VOTE_STEP = 50_000
+
+
+def signed_votes(texts: list[list[str]], bits: int) -> np.ndarray:
+    """(texts, bits / 8) bytes: the fingerprints of texts given as words. Each distinct word is hashed once."""
+    sizes = np.array([len(words) for words in texts], dtype=np.int64)
+    known: dict[str, int] = {}
+    code = np.fromiter((known.setdefault(w, len(known)) for words in texts for w in words), np.int64, int(sizes.sum()))
+    raw = b"".join(hashlib.sha256(b"\0\0\0\0" + w.encode()).digest()[-bits // 8 :] for w in known)
+    votes = np.zeros((len(texts), bits), dtype=np.int64)
+    pair, count = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(1, len(known)) + code, return_counts=True)
+    doc, word = np.divmod(pair, max(1, len(known)))
+    packed = np.frombuffer(raw, np.uint8).reshape(-1, bits // 8)
+    for at in range(0, len(pair), VOTE_STEP):
+        step = slice(at, at + VOTE_STEP)
+        signs = np.unpackbits(packed[word[step]], axis=1).astype(np.int64) * 2 - 1
+        first = np.flatnonzero(np.diff(doc[step], prepend=-1))
+        votes[doc[step][first]] += np.add.reduceat(signs * count[step, None], first)
+    out = np.packbits(votes >= 0, axis=1)
+    out[sizes == 0] = 0
+    return out
 
 
 @F.pandas_udf(T.LongType())
@@ -47,15 +54,22 @@ def simhash64(texts):
     """64-bit fingerprint as a signed long; a null text counts as empty."""
     import pandas as pd
 
-    cache: dict = {}
-    out = []
+    out, held, n = [], [], 0
+
+    def flush():
+        nonlocal held, n
+        if held:
+            out.append(signed_votes(held, 64).view(">i8").reshape(-1).astype(np.int64))
+        held, n = [], 0
+
     for t in texts:
         words = TOKEN.findall((t or "").lower())
-        if len(cache) > 200_000:
-            cache.clear()
-        v = _signed_votes(words, 64, cache) if words else 0
-        out.append(v - (1 << 64) if v >> 63 else v)
-    return pd.Series(out, dtype="int64")
+        if n + len(words) > 1_000_000:  # texts of some megabytes together; a longer one is a step of its own
+            flush()
+        held.append(words)
+        n += len(words)
+    flush()
+    return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
 
 
 def hamming(a: Column, b: Column) -> Column:

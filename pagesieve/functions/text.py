@@ -30,20 +30,34 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unescaped(t: Column) -> Column:
-    """Character references (named, decimal, hexadecimal) as the characters they stand for; unknown ones stay as they are."""
-    names = F.create_map(*[F.lit(x) for pair in reference_names().items() for x in pair])
+    """Character references (named, decimal, hexadecimal) as the characters they stand for; unknown ones stay as they are.
 
-    def one(x, i):
-        ref = F.regexp_extract(x, REFERENCE, 1)
-        code = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("int")
+    Each piece's reference and number are bound, as an expression in a lambda is worked out anew wherever it is named.
+    """
+    table = lambda numbers: F.create_map(*[F.lit(x) for k, v in reference_names().items() if k.startswith("#") == numbers for x in (k, v)])
+    names, numbers = table(False), table(True)
+
+    def numbered(code):
         bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        char = F.when(bad, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        found = F.coalesce(F.try_element_at(names, F.when(code.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(ref)), F.when(F.startswith(ref, F.lit("#")), char))
-        rest = F.substring(x, F.length(ref) + 2, F.length(x))
-        return F.when(i == 0, x).when((ref == "") | found.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(found, rest))
+        other = F.when(bad, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(code.between(0x80, 0x9F), F.try_element_at(numbers, F.concat(F.lit("#"), code.cast("string")))).otherwise(other)
+
+    def char(ref):
+        hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("int")
+        return F.when(ref == "", None).when(F.startswith(ref, F.lit("#")), bound(code, numbered)).otherwise(F.try_element_at(names, ref))
+
+    def one(x, i):
+        replaced = lambda ref: bound(char(ref), lambda c: F.concat(c, F.substring(x, F.length(ref) + 2, F.length(x))))
+        return F.when(i == 0, x).otherwise(bound(bound(F.regexp_extract(x, REFERENCE, 1), replaced), lambda y: F.coalesce(y, F.concat(F.lit("&"), x))))
 
-    return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), one), "")).otherwise(t)
+    return bound(t, lambda whole: F.when(F.contains(whole, F.lit("&")), F.array_join(F.transform(F.split(whole, "&"), one), "")).otherwise(whole))
 
 
 def html_text(html: Column) -> Column:

@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,25 @@ def test_native_path_equals_general_form(spark):
         assert (r["url_canonical"], r["url_canonical_reason"]) == ur.canonical_url(r["url"]), r["url"]
 
 
+def plain_simhash(text, bits):
+    votes = [0] * bits
+    for w in re.findall(r"\w+", text.lower()):
+        h = int.from_bytes(hashlib.sha256(b"\0\0\0\0" + w.encode()).digest(), "big")
+        votes = [v + (1 if h >> i & 1 else -1) for i, v in enumerate(votes)]
+    return sum(1 << i for i, v in enumerate(votes) if v >= 0) if re.search(r"\w", text) else 0
+
+
+@pytest.mark.parametrize("step", [fp.VOTE_STEP, 7])
+def test_simhash_equals_plain_votes(monkeypatch, step):
+    monkeypatch.setattr(fp, "VOTE_STEP", step)
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(["a", "B", "cd", "\u00e9f", "i_j", "42", "-"], k=draw.choice([0, 1, 2, 9, 60]))) for _ in range(200)]
+    for bits in (32, 64, 128):
+        want = [plain_simhash(t, bits) for t in texts]
+        assert [fp.simhash(t, bits) for t in texts] == want
+        assert [int.from_bytes(x.tobytes(), "big") for x in fp.signed_votes([re.findall(r"\w+", t.lower()) for t in texts], bits)] == want
+
+
 def test_simhash_known_values():
     a, b = fp.simhash("This is a short text about gardening."), fp.simhash("Completely different topic concerning astrophysics and math.")
     assert (a, b) == (0x9231E00E032663BD, 0xE009ED3173375A99)
