@@ -103,29 +103,35 @@ def canonical_udf(urls):
 
 
 @F.pandas_udf(T.StringType())
-def join_udf(base, href):
-    """Targets of hrefs as they are written in HTML: character references are resolved first."""
+def target_udf(base, href):
+    """Canonical targets of hrefs as they are written in HTML (character references are resolved first); null without a base."""
     from html import unescape
 
     import pandas as pd
 
     def one(b, h):
         try:
-            return None if h is None else urljoin(unescape(b or ""), unescape(h))
+            return None if b is None or h is None else canonical_url(urljoin(unescape(b), unescape(h)))[0]
         except ValueError:
             return None
 
-    return pd.Series([one(b, h) for b, h in zip(base, href)])
+    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+
+
+def simple(url: Column) -> Column:
+    return F.coalesce(url.rlike(SIMPLE), F.lit(False))
+
+
+def native_canonical(url: Column) -> Column:
+    """Canonical form of a simple URL."""
+    return F.concat(scheme(url), F.lit("://"), netloc(url), F.coalesce(F.nullif(F.regexp_extract(url, r"^[^:]+://[^/]*(/.*)$", 1), F.lit("")), F.lit("/")))
 
 
 def with_canonical(df, url: str = "url", name: str = "url_canonical"):
     """Append the canonical URL and the reason why there is none.
 
-    Simple URLs stay in the JVM: only the others are given to the Arrow call.
+    Simple URLs stay in the JVM: the Arrow call sees nulls in their place, so that ``df`` is worked out once.
     """
     u = F.col(url)
-    simple = F.coalesce(u.rlike(SIMPLE), F.lit(False))
-    native = F.concat(scheme(u), F.lit("://"), netloc(u), F.coalesce(F.nullif(F.regexp_extract(u, r"^[^:]+://[^/]*(/.*)$", 1), F.lit("")), F.lit("/")))
-    fast = df.where(simple).withColumns({name: native, f"{name}_reason": F.lit(None).cast("string")})
-    slow = df.where(~simple).withColumn("__c", canonical_udf(u)).withColumns({name: F.col("__c.url"), f"{name}_reason": F.col("__c.reason")}).drop("__c")
-    return fast.unionByName(slow)
+    asked = df.withColumn("__c", canonical_udf(F.when(~simple(u), u)))
+    return asked.withColumns({name: F.when(simple(u), native_canonical(u)).otherwise(F.col("__c.url")), f"{name}_reason": F.when(~simple(u), F.col("__c.reason"))}).drop("__c")

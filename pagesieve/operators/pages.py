@@ -51,16 +51,18 @@ def page_links(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     whole = F.regexp_extract_all(F.regexp_replace(html, tx.COMMENT, ""), F.lit(anchor), F.lit(0))
     base = either(html, rf"(?is)<base(?=\s)[^>]*?(?<![\w-])href\s*=\s*{value}")
-    rows = pages.select("page_id", "url", F.when(base != "", base).otherwise(F.col("url")).alias("base"), F.posexplode(whole).alias("pos", "a"))
+    # both are read off the page before its anchors become rows, so that no row carries or scans the page again
+    read = pages.select("page_id", "url", base.alias("base"), whole.alias("whole"))
+    rows = read.select("page_id", "url", F.coalesce(F.nullif("base", F.lit("")), "url").alias("base"), F.posexplode("whole").alias("pos", "a"))
     rel = either("a", rf"(?is)<a(?=\s)[^>]*?(?<![\w-])rel\s*=\s*{value}")
     rows = rows.select("page_id", "url", "base", "pos", F.trim(either("a", anchor)).alias("href"), F.substring(tx.html_text(F.regexp_extract("a", anchor, 4)), 1, 160).alias("anchor_text"), F.array_sort(F.array_distinct(F.filter(F.split(rel, r"\s+"), lambda x: x != ""))).alias("rel"))
     rows = rows.where((F.col("href") != "") & ~F.startswith("href", F.lit("#")))
     origin = F.concat(ur.scheme(F.col("base")), F.lit("://"), ur.netloc(F.col("base")))
     plain = F.when(F.col("href").rlike(r"^/(?!/)[^?#&]*$") & F.col("base").rlike(r"^(?i:https?)://[^&]*$"), F.concat(origin, "href")).when(F.col("href").rlike(r"^(?i:https?)://[^?#&]*$"), F.col("href"))
-    rows = rows.withColumn("plain", plain)
-    asked = rows.where(F.col("plain").isNull()).withColumn("joined", ur.join_udf(F.col("base"), F.col("href")))
-    rows = rows.where(F.col("plain").isNotNull()).withColumn("joined", F.col("plain")).unionByName(asked)
-    rows = ur.with_canonical(rows, "joined", "target").drop("plain", "joined", "target_reason")
+    rows = rows.withColumn("plain", plain).withColumn("simple", ur.simple(F.col("plain")))
+    # one pass over the pages: the Arrow call sees nulls where a target is native
+    asked = ur.target_udf(F.when(~F.col("simple"), F.coalesce("plain", "base")), F.when(F.col("plain").isNull(), F.col("href")).otherwise(""))
+    rows = rows.withColumn("asked", asked).withColumn("target", F.when(F.col("simple"), ur.native_canonical(F.col("plain"))).otherwise(F.col("asked"))).drop("plain", "simple", "asked")
     rows = rows.where(F.col("target").isNotNull())
     first = rows.groupBy("page_id", "target").agg(F.min(F.struct("pos", "url", "anchor_text", "rel")).alias("m"))
     out = first.select("page_id", "m.pos", "m.url", "target", "m.anchor_text", "m.rel")
