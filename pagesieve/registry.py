@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagesieve.plans import events, graph, pages, streams, triage, vectors
+from pagesieve.plans import events, files, graph, pages, streams, triage, vectors
 
-MODULES = (pages, events, graph, vectors, streams, triage)
+MODULES = (pages, events, graph, vectors, streams, triage, files)
 
 
 def queries() -> dict:
