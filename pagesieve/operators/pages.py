@@ -136,25 +136,34 @@ def head_reason(s: CascadeSettings, content_type: Column | None = None, length:
     return F.when(wrong, F.concat(F.lit("content-type:"), kind)).when(n < s.min_content_length, f"content-length<{s.min_content_length}").when(n > s.max_content_length, f"content-length>{s.max_content_length}")
 
 
-def prefilter_reasons(s: PrefilterSettings, excerpt: Column, tokens: Column, ratio: Column | None = None) -> Column:
-    """All reasons, in order: too few tokens, a boring keyword, too many links to the same host."""
+def prefilter_reasons(s: PrefilterSettings, excerpt: Column, tokens: Column, ratio: Column | None = None, gate: Column | None = None) -> Column:
+    """All reasons, in order: too few tokens, a boring keyword, too many links to the same host, a boring embedding.
+
+    A text of 20 characters or more whose embedding is odd enough (gate ``pass``) has no reason, whatever the others say.
+    """
     if not s.enabled:
         return F.array().cast("array<string>")
     few = F.when((tokens > 0) & (tokens < s.min_token_count), f"token_count<{s.min_token_count}")
     word = tx.first_keyword(excerpt, s.boring_keywords)
     same = F.when(ratio >= s.max_same_domain_ratio, "outbound_same_domain") if ratio is not None else F.lit(None).cast("string")
-    return F.array_compact(F.array(few, F.when(word.isNotNull(), F.concat(F.lit("keyword:"), word)), same))
+    plain = [few, F.when(word.isNotNull(), F.concat(F.lit("keyword:"), word)), same]
+    if gate is None:
+        return F.array_compact(F.array(*plain))
+    near = F.when(F.length(F.coalesce(excerpt, F.lit(""))) >= 20, gate)
+    found = F.array_compact(F.array(*plain, F.when(near == "boring_embedding", near)))
+    return F.when(near == "pass", F.array().cast("array<string>")).otherwise(found)
 
 
 STAGES = ("head", "snippet", "structure", "keywords", "simhash", "classifier", "prefilter")
 
 
-def cascade(pages: DataFrame, s: CascadeSettings = CascadeSettings(), pre: PrefilterSettings = PrefilterSettings(), content_type: str | None = None, content_length: str | None = None) -> DataFrame:
+def cascade(pages: DataFrame, s: CascadeSettings = CascadeSettings(), pre: PrefilterSettings = PrefilterSettings(), content_type: str | None = None, content_length: str | None = None, same_domain: str | None = None, gate: str | None = None) -> DataFrame:
     """page_id, stage (where a page stopped, or null), reason, override, probability and stages (name:status of each).
 
     Gates run from cheap to dear. The fingerprint stage sees only the text of pages that reach it; of those with one
     fingerprint the first by arrival goes on. The first is aggregated and joined back, so that a page that very many
-    repeat is no single task's work.
+    repeat is no single task's work. ``same_domain`` (share of links to the own host) and ``gate`` (of ``centroid_gate``)
+    name columns of ``pages`` that the prefilter looks at too.
     """
     p = structure_metrics(pages, s)
     head = head_reason(s, F.col(content_type) if content_type else None, F.col(content_length) if content_length else None)
@@ -166,7 +175,8 @@ def cascade(pages: DataFrame, s: CascadeSettings = CascadeSettings(), pre: Prefi
     p = p.withColumns({"r1": head, "r2": snippet, "r3": structure, "override": override, "r4": F.when(word.isNotNull(), F.concat(F.lit("keyword:"), F.lower(word))), "probability": classifier_probability(s)})
     excerpt = tx.snippet(F.col("html"), 1200)
     words = F.size(F.regexp_extract_all(tx.snippet(F.col("html"), 2048), F.lit(tx.WORD), F.lit(0)))
-    p = p.withColumn("r7", F.nullif(F.array_join(prefilter_reasons(pre, excerpt, words), ";"), F.lit("")))
+    ratio, near = (F.col(c) if c else None for c in (same_domain, gate))
+    p = p.withColumn("r7", F.nullif(F.array_join(prefilter_reasons(pre, excerpt, words, ratio, near), ";"), F.lit("")))
     p = p.withColumn("r6", F.when(F.col("probability") < s.classifier_threshold, f"classifier<{s.classifier_threshold}"))
     early = F.coalesce("r1", "r2", "r3", "r4")
     fp = simhash64(F.when(early.isNull(), F.col("snippet"))) if s.simhash else F.lit(None).cast("long")
@@ -196,6 +206,16 @@ def stage_counts(decisions: DataFrame) -> DataFrame:
     return each.groupBy(F.split_part("s", F.lit(":"), F.lit(1)).alias("stage"), F.split_part("s", F.lit(":"), F.lit(2)).alias("status")).agg(F.count("*").alias("pages"))
 
 
+def override_counts(decisions: DataFrame) -> DataFrame:
+    """Pages per override, of those that the structure gate let pass with a warning."""
+    return decisions.where(F.exists("stages", lambda s: F.endswith(s, F.lit(":warn")))).groupBy("override").agg(F.count("*").alias("pages"))
+
+
+def verdict_counts(decisions: DataFrame) -> DataFrame:
+    """One row: pages that passed every gate, that were stopped, and that have a warning of any gate."""
+    return decisions.agg(F.count_if(F.col("stage").isNull()).alias("passes"), F.count_if(F.col("stage").isNotNull()).alias("skips"), F.count_if(F.exists("stages", lambda s: F.endswith(s, F.lit(":warn")))).alias("warned"))
+
+
 # --- scores ------------------------------------------------------------------------------------
 
 

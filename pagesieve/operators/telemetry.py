@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 def summary(events: DataFrame) -> DataFrame:
     """One row over events (at, action, score, bytes, duration_ms, illegal): the run's counters and derived ratios.
 
-    Fetch duration and KiB are divided by pages, as the definitions want.
+    Fetch duration and KiB are divided by pages, as the definitions want; a request is an event with a duration. Where
+    there are columns ``finding`` and ``error``, a finding counts as a call of the model and an error as an error.
     """
     n = F.count("*")
+    called = F.col("action") == "llm"
+    if "finding" in events.columns:
+        called = called | F.col("finding").isNotNull()
+    errors = F.count("error") if "error" in events.columns else F.lit(0).cast("long")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     counts = events.agg(
-        n.alias("pages"), F.count_if(F.col("action") == "skip").alias("skip"), F.count_if(F.col("action") == "persist").alias("persist"), F.count_if(F.col("action") == "llm").alias("llm"), F.count_if("illegal").alias("illegal_skipped"),
+        n.alias("pages"), F.count_if(F.col("action") == "skip").alias("skip"), F.count_if(F.col("action") == "persist").alias("persist"), F.count_if(F.col("action") == "llm").alias("llm"), F.count_if("illegal").alias("illegal_skipped"), F.count("duration_ms").alias("requests"), F.count_if(called).alias("llm_calls"), errors.alias("errors"),
         total("score").alias("score_sum"), total("bytes").alias("bytes"), total("duration_ms").alias("duration_ms"), F.min("at").alias("first"), F.max("at").alias("last"),
     )
     seconds = F.unix_timestamp(F.col("last").cast("timestamp")) - F.unix_timestamp(F.col("first").cast("timestamp"))
     per = lambda x: F.try_divide(x, F.nullif("pages", F.lit(0)))
     return counts.select(
-        "pages", "skip", "persist", "llm", "illegal_skipped", F.round(per(F.col("score_sum")), 4).alias("average_score"), F.round(per(F.col("persist") + F.col("llm")), 4).alias("odd_hit_ratio"),
+        "pages", "skip", "persist", "llm", "illegal_skipped", "requests", "llm_calls", "errors", F.round(per(F.col("score_sum")), 4).alias("average_score"), F.round(per(F.col("persist") + F.col("llm")), 4).alias("odd_hit_ratio"),
         F.round(per(F.col("duration_ms")), 4).alias("average_fetch_ms"), F.round(per(F.col("bytes") / 1024), 4).alias("kib_per_page"), F.round(F.col("bytes") / (1024 * 1024), 4).alias("mib"),
         seconds.cast("long").alias("elapsed_seconds"), F.round(F.try_divide(F.col("pages") * 3600.0, F.nullif(seconds, F.lit(0))), 4).alias("pages_per_hour"), F.round(F.try_divide(F.col("pages") * 60.0, F.nullif(seconds, F.lit(0))), 4).alias("pages_per_minute"),
     )

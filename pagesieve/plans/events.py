@@ -191,11 +191,11 @@ def conversation_tail(spark, d):
     return te.last_n(c, "conv_id", 5).select("conv_id", F.array_join("history", ",").alias("roles"))
 
 
-@query("telemetry_summary", f"""WITH {VISITS}, s AS (SELECT count(*) AS pages, count(*) FILTER (action = 'skip') AS skip, count(*) FILTER (action = 'persist') AS persist, count(*) FILTER (action = 'llm') AS llm, count(*) FILTER (failed) AS illegal_skipped,
+@query("telemetry_summary", f"""WITH {VISITS}, s AS (SELECT count(*) AS pages, count(*) FILTER (action = 'skip') AS skip, count(*) FILTER (action = 'persist') AS persist, count(*) FILTER (action = 'llm') AS llm, count(*) FILTER (failed) AS illegal_skipped, count(*) FILTER (action = 'llm' OR value > 15) AS calls, count(*) FILTER (value < 2) AS errors,
   sum(score) AS ss, sum(CAST(floor(value * 1000) AS BIGINT)) AS b, sum(value) AS ms, epoch(date_trunc('second', max(at))) - epoch(date_trunc('second', min(at))) AS sec FROM v)
-SELECT pages, skip, persist, llm, illegal_skipped, round(ss / pages, 4) AS average_score, round((persist + llm) / pages, 4) AS odd_hit_ratio, round(ms / pages, 4) AS average_fetch_ms, round(b / 1024 / pages, 4) AS kib_per_page, round(b / 1048576, 4) AS mib, CAST(sec AS BIGINT) AS elapsed_seconds, round(pages * 60.0 / sec, 4) AS pages_per_minute, round(pages * 3600.0 / sec, 4) AS pages_per_hour FROM s""")
+SELECT pages, skip, persist, llm, illegal_skipped, pages AS requests, calls AS llm_calls, errors, round(ss / pages, 4) AS average_score, round((persist + llm) / pages, 4) AS odd_hit_ratio, round(ms / pages, 4) AS average_fetch_ms, round(b / 1024 / pages, 4) AS kib_per_page, round(b / 1048576, 4) AS mib, CAST(sec AS BIGINT) AS elapsed_seconds, round(pages * 60.0 / sec, 4) AS pages_per_minute, round(pages * 3600.0 / sec, 4) AS pages_per_hour FROM s""")
 def telemetry_summary(spark, d):
-    v = visits(spark, d).withColumns({"bytes": F.floor(F.col("value") * 1000).cast("long"), "duration_ms": F.col("value"), "illegal": F.col("failed")})
+    v = visits(spark, d).withColumns({"bytes": F.floor(F.col("value") * 1000).cast("long"), "duration_ms": F.col("value"), "illegal": F.col("failed"), "finding": F.when(F.col("value") > 15, "found"), "error": F.when(F.col("value") < 2, "timeout")})
     return te.summary(v)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from pagesieve.config import ILLEGAL_KEYWORDS, ODD_KEYWORDS, RETRO_TAGS, CascadeSettings, PrefilterSettings
@@ -84,8 +86,7 @@ def url_scheme_gate(spark, d):
 @query("tor_route", "SELECT page_id, lower(regexp_extract(url, '://([^/:?#]*)', 1)) LIKE '%.org' OR lower(regexp_extract(url, '://([^/:?#]*)', 1)) IN ('tionsh.example.net') AS routed FROM pages")
 def tor_route(spark, d):
     """Routing by a host suffix or a list of hosts (here: suffix .org)."""
-    host = F.lower(F.regexp_extract("url", "://([^/:?#]*)", 1))
-    return table(spark, d, "pages").select("page_id", (F.endswith(host, F.lit(".org")) | host.isin("tionsh.example.net")).alias("routed"))
+    return table(spark, d, "pages").select("page_id", ur.routed(F.col("url"), domains=["tionsh.example.net"], suffix=".org").alias("routed"))
 
 
 CANONICAL = f"split_part(url, ':', 1) || '://' || {NETLOC.format('url')} || coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1), ''), '/') || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(string_split(split_part(split_part(url, '#', 1), '?', 2), '&')), '&') ELSE '' END"
@@ -177,6 +178,31 @@ def cascade_stage_counts(spark, d):
     return op.stage_counts(op.cascade(table(spark, d, "pages"), TIGHT, PrefilterSettings(enabled=False)))
 
 
+WARNED = "r1 IS NULL AND r3 IS NULL AND ov IS NOT NULL"
+#: A density that many pages are below, so that overrides let them pass.
+DENSE, DENSE_SQL = replace(TIGHT, min_text_density=0.7), TIGHT_SQL.replace("0.45", "0.7")
+
+
+@query("cascade_overrides", f"WITH {DENSE_SQL} SELECT ov AS override, count(*) AS pages FROM q WHERE {WARNED} GROUP BY 1")
+def cascade_overrides(spark, d):
+    return op.override_counts(op.cascade(table(spark, d, "pages"), DENSE, PrefilterSettings(enabled=False)))
+
+
+@query("cascade_verdicts", f"WITH {DENSE_SQL} SELECT count(*) FILTER (coalesce(r1, r3, r4, r6) IS NULL) AS passes, count(*) FILTER (coalesce(r1, r3, r4, r6) IS NOT NULL) AS skips, count(*) FILTER ({WARNED}) AS warned FROM q")
+def cascade_verdicts(spark, d):
+    return op.verdict_counts(op.cascade(table(spark, d, "pages"), DENSE, PrefilterSettings(enabled=False)))
+
+
+@query("cascade_prefilter", f"""WITH {TIGHT_SQL}, g AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN NULL ELSE nullif(concat_ws(';', CASE WHEN page_id % 10 >= 8 THEN 'outbound_same_domain' END, CASE WHEN page_id % 7 = 1 THEN 'boring_embedding' END), '') END AS r7 FROM pages)
+SELECT page_id, CASE WHEN r1 IS NOT NULL THEN 'head' WHEN r3 IS NOT NULL THEN 'structure' WHEN r4 IS NOT NULL THEN 'keywords' WHEN r6 IS NOT NULL THEN 'classifier' WHEN r7 IS NOT NULL THEN 'prefilter' END AS stage, coalesce(r1, r3, r4, r6, r7) AS reason FROM q JOIN g USING (page_id)""")
+def cascade_prefilter(spark, d):
+    """The cascade with shares of links and embedding gates that stand in for measured ones (both made of the id)."""
+    k = F.col("page_id")
+    p = table(spark, d, "pages").withColumns({"ratio": (k % 10) / 10, "gate": F.when(k % 7 == 0, "pass").when(k % 7 == 1, "boring_embedding").otherwise("open")})
+    pre = PrefilterSettings(min_token_count=0, boring_keywords=(), max_same_domain_ratio=0.8)
+    return op.cascade(p, TIGHT, pre, same_domain="ratio", gate="gate").select("page_id", "stage", "reason")
+
+
 VOTES = r"""
 sim_w AS (SELECT {id}, unnest(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')) AS w FROM {src}),
 sim_c AS (SELECT {id}, w, count(*) AS n FROM sim_w GROUP BY 1, 2),

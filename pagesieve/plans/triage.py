@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagesieve.config import FusionSettings, PrefilterSettings
@@ -11,6 +13,7 @@ from pagesieve.operators import pages as op
 from pagesieve.operators import triage as tr
 from pagesieve.plans.events import VISITS, visits
 from pagesieve.plans.pages import FEATURES, NETLOC, TIGHT, TIGHT_SQL, table
+from pagesieve.plans.pages import SQL as PAGE_SQL
 from pagesieve.sources.files import json_object
 from pagesieve.storage import keeper, stored
 
@@ -41,11 +44,12 @@ def analyst_prompt(spark, d):
 
 
 def analyst(prompts):
-    """Stands in for a model: answers every other prompt with a finding in prose, the rest with something unreadable."""
-    return [f'I think: {{"summary": "seen {len(p)}", "risk_tag": "other", "confidence": 0.9}} ok?' if len(p) % 2 else "no idea" for p in prompts]
+    """Stands in for a model: finds in prose for URLs of an odd length, and answers the rest with something unreadable."""
+    n = [len(re.search(r"(?m)^URL: (.*)$", p)[1]) for p in prompts]
+    return [f'I think: {{"summary": "seen {x}", "risk_tag": "other", "confidence": 0.9}} ok?' if x % 2 else "no idea" for x in n]
 
 
-@query("analyst_udf")
+@query("analyst_udf", f"SELECT f.page_id, CASE WHEN length(url) % 2 = 1 THEN 'seen ' || length(url) ELSE summary END AS summary, CASE WHEN length(url) % 2 = 1 THEN 'other' ELSE risk_tag END AS risk_tag, CASE WHEN length(url) % 2 = 1 THEN 0.9 ELSE confidence END AS confidence, observation_ref FROM ({PAGE_SQL["fallback_findings"]}) f JOIN pages p ON p.page_id = f.page_id")
 def analyst_udf(spark, d):
     """Triage with an analyst plugged in: only pages beyond the gate reach it."""
     return tr.triaged(op.scored(table(spark, d, "pages"), s=GATE), analyst).select("page_id", "summary", "risk_tag", "confidence", "observation_ref")

@@ -114,7 +114,7 @@ def topic_sets(spark, d):
     return tag(n.subtract(o), "new").unionByName(tag(o.subtract(n), "retired")).unionByName(tag(o.intersect(n), "shared"))
 
 
-@query("bloom_membership")
+@query("bloom_membership", "SELECT doc_id, source, source IS NOT NULL AS member, coalesce(source || '?' IN (SELECT source FROM documents WHERE source IS NOT NULL), false) AS other FROM documents")
 def bloom_membership(spark, d):
     """Which words of the benchmark may occur as source names or languages of documents: no false negatives."""
     docs = table(spark, d, "documents")
