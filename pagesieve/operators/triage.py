@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from pagesieve.operators import pages as op
 from pagesieve.sources.files import json_object
+from pagesieve.storage import stored
 
 FINDING = "url string, summary string, why_flagged array<string>, risk_tag string, dangerous_content struct<present:boolean,category:string,notes:string>, confidence double, observation_ref string"
 
@@ -62,7 +63,8 @@ def triaged(decided: DataFrame, call: Callable[[list[str]], list[str]] | None =
         return fallback
     asked = decided.where("action = 'llm'")
     prompt = analyst_prompt(F.struct("retro_signals", "url_flags", "retro_score", "semantic_score", "score"))
-    answers = asked.select("page_id", F.col("url").alias("own_url"), "url_sha256", text_call(call)(prompt).alias("answer"))
+    # Written, so that no plan around it asks a model twice for one page
+    answers = stored(asked.select("page_id", F.col("url").alias("own_url"), "url_sha256", text_call(call)(prompt).alias("answer")), "answers")
     read = answers.select("page_id", "own_url", "url_sha256", F.from_json(json_object(F.col("answer")), FINDING).alias("f"))
     j = fallback.join(read, "page_id", "left")
     pick = lambda c: F.coalesce(F.when(F.col("f.summary").isNotNull(), F.col(f"f.{c}")), F.col(c)).alias(c)
