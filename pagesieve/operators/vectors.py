@@ -14,6 +14,10 @@ from pagesieve.storage import stored
 
 #: Queries of one pass; more are searched in as many passes as it takes.
 QUERY_BLOCK = 20_000
+#: Queries and vectors that are compared at once: a block of distances has at most their product in cells (4 MB), however many rows there are.
+QUERY_STEP, VECTOR_STEP = 512, 1024
+#: Pairs whose values are computed from the vectors themselves at once.
+EXACT_STEP = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,7 +36,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", bloc
     """(query_id, vec_id, value, rank): the k nearest of each query by squared L2 (ascending) or cosine (descending).
 
     ``vectors`` and ``queries`` have vec_id and embedding. Queries travel in blocks of a bounded size; every partition
-    of the vectors reduces each query to its k best, so what is shuffled is queries times k for each partition.
+    of the vectors keeps the k best of each query, so what is shuffled is queries times k for each partition. Vectors
+    are compared in blocks too, so a worker's memory depends neither on the number of queries nor on that of vectors.
+    Of equal distances (cosines: equal to twelve places) the smallest ids are nearest.
     """
     n = queries.count()
     passes = max(1, -(-n // block))
@@ -43,47 +49,101 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", bloc
         ids, q = np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["embedding"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
         got = _pass(vectors, ids, q, k, metric)
         out = got if out is None else out.unionByName(got)
-    order = F.col("value").asc() if metric == "l2" else F.col("value").desc()
+    order = F.col("value").asc() if metric == "l2" else F.round("value", 12).desc()
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))
     return ranked.where(F.col("rank") <= k)
 
 
+class Nearest:
+    """The k best of each query among the vectors seen so far, by key (small is near) and id."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        self.norm = np.einsum("ij,ij->i", q, q)
+        self.key, self.value = np.full((len(q), k), np.inf), np.zeros((len(q), k))
+        self.id, self.held = np.zeros((len(q), k), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
+
+    def see(self, v: np.ndarray, vid: np.ndarray) -> None:
+        for at in range(0, len(v), VECTOR_STEP):
+            block, ids = v[at : at + VECTOR_STEP], vid[at : at + VECTOR_STEP]
+            norm = np.einsum("ij,ij->i", block, block)
+            for a in range(0, len(self.q), QUERY_STEP):
+                self._block(slice(a, min(a + QUERY_STEP, len(self.q))), block, norm, ids)
+
+    def _block(self, rows: slice, v: np.ndarray, vn: np.ndarray, vid: np.ndarray) -> None:
+        near, qn = self.q[rows] @ v.T, self.norm[rows, None]
+        if self.metric == "l2":
+            near *= -2
+            near += qn
+            near += vn
+            near[np.isnan(near)] = np.inf
+            slack = 1e-9 + 1e-12 * (qn[:, 0] + np.nanmax(vn, initial=0.0))
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near /= np.sqrt(qn)
+                near /= np.sqrt(vn)
+            near = np.negative(np.nan_to_num(near, copy=False, nan=-1.0), out=near)
+            slack = 1e-9
+        # all that may be among the k best or tie with the last of them are looked at exactly
+        full = self.held[rows] == self.k
+        cut = np.where(full, self.key[rows, -1], np.inf) + slack
+        hit = near <= cut[:, None]
+        if np.count_nonzero(hit) > 4 * self.k * len(near):
+            m = min(self.k, near.shape[1])
+            cut = np.minimum(cut, np.partition(near, m - 1, axis=1)[:, m - 1] + slack)
+            hit = near <= cut[:, None]
+        i, j = np.nonzero(hit)
+        if not len(i):
+            return
+        value = np.empty(len(i))
+        for at in range(0, len(i), EXACT_STEP):
+            part = slice(at, at + EXACT_STEP)
+            x, y = self.q[rows][i[part]], v[j[part]]
+            if self.metric == "l2":
+                value[part] = np.einsum("ij,ij->i", x - y, x - y)
+            else:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    value[part] = np.nan_to_num(np.einsum("ij,ij->i", x, y) / (np.sqrt(qn[i[part], 0]) * np.sqrt(vn[j[part]])), nan=-1.0)
+        # the held ones of the queries that were hit stand in line with the new ones
+        mine = np.unique(i)
+        o, c = np.nonzero(np.arange(self.k) < self.held[rows][mine, None])
+        o, r = mine[o], rows.start + mine[o]
+        i = np.concatenate([o, i])
+        ids, value = np.concatenate([self.id[r, c], vid[j]]), np.concatenate([self.value[r, c], value])
+        key = value if self.metric == "l2" else -np.round(value, 12)
+        order = np.lexsort((ids, key, i))
+        i, ids, key, value = i[order], ids[order], key[order], value[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < self.k
+        r, c = rows.start + i[best], place[best]
+        self.key[r, c], self.value[r, c], self.id[r, c] = key[best], value[best], ids[best]
+        self.held[rows.start + mine] = np.minimum(np.bincount(i, minlength=rows.stop - rows.start)[mine], self.k)
+
+
 def _pass(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def search(batches):
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         ids, q = shared.value
-        qn = np.einsum("ij,ij->i", q, q)
+        if not len(q):
+            return
+        near, last = Nearest(q, k, metric), np.iinfo(np.int64).max  # a null id comes after all others
         for b in batches:
-            b = b[b["embedding"].notna()]
-            if not len(b) or not len(q):
-                continue
-            b = b[b["embedding"].map(len) == q.shape[1]]
-            if not len(b):
-                continue
-            v, vid = np.array(b["embedding"].tolist(), dtype=np.float64), b["vec_id"].to_numpy()
-            vn = np.einsum("ij,ij->i", v, v)
-            for a in range(0, len(q), 2000):
-                d = q[a : a + 2000] @ v.T
-                if metric == "l2":
-                    near = qn[a : a + 2000, None] + vn[None, :] - 2 * d
-                else:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        near = -np.nan_to_num(d / np.sqrt(qn[a : a + 2000, None] * vn[None, :]), nan=-1.0)
-                m = min(k, near.shape[1])
-                # all that may tie with the k-th are looked at exactly
-                cut = np.partition(near, m - 1, axis=1)[:, m - 1 : m] + 1e-9
-                i, j = np.nonzero(near <= cut)
-                exact = np.einsum("ij,ij->i", q[a + i] - v[j], q[a + i] - v[j]) if metric == "l2" else -near[i, j]
-                order = np.lexsort((vid[j], exact if metric == "l2" else -exact, i))  # of ties the smallest ids
-                i, j, exact = i[order], j[order], exact[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j, exact = i[best], j[best], exact[best]
-                yield pd.DataFrame({"query_id": ids[a + i], "vec_id": vid[j], "value": exact})
-
-    return vectors.select("vec_id", "embedding").mapInPandas(search, "query_id long, vec_id long, value double")
+            e, vid = b.column("embedding"), pc.fill_null(b.column("vec_id"), int(last))
+            fits = pc.fill_null(pc.equal(pc.list_value_length(e), q.shape[1]), False)
+            e, vid = e.filter(fits), vid.filter(fits).to_numpy(zero_copy_only=False)
+            if len(vid):
+                near.see(e.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vid), -1), vid)
+        for a in range(0, len(q), 10_000):
+            r, c = np.nonzero(np.arange(k) < near.held[a : a + 10_000, None])
+            r += a
+            found = near.id[r, c]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(found, mask=found == last), pa.array(near.value[r, c])], ["query_id", "vec_id", "value"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(search, "query_id long, vec_id long, value double")
 
 
 def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -132,15 +192,15 @@ def hashing_encoder(dim: int = 64) -> Callable:
 
         import pandas as pd
 
-        out = []
-        for t in texts:
-            v = np.zeros(dim, dtype=np.float32)
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for v, t in zip(out, texts):
             for w in (t or "").lower().split():
                 h = zlib.crc32(w.encode())
                 v[h % dim] += 1.0 if h & 0x80000000 else -1.0
             n = float(np.linalg.norm(v))
-            out.append((v / n if n else v).tolist())
-        return pd.Series(out)
+            if n:
+                v /= n
+        return pd.Series(list(out))
 
     return encode
 

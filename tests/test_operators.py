@@ -326,6 +326,32 @@ def test_nearest_ties_are_few_and_go_to_small_ids(spark):
     assert ids == sorted([*range(200), 900, *range(901, 951)])
 
 
+def test_search_is_bounded_in_memory_and_rows(spark):
+    import tracemalloc
+
+    from pagesieve.operators import vectors as ve
+
+    rng = np.random.default_rng(1)
+    v, q = rng.normal(size=(10_000, 16)), rng.normal(size=(2_000, 16))
+    q[0], v[:3000] = v[0], v[0]  # a large group of copies, too
+    for metric in ("l2", "cosine"):
+        near = ve.Nearest(q, 3, metric)
+        tracemalloc.start()
+        near.see(v, np.arange(10_000))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6  # one matrix of all distances alone is 160 MB
+        d = ((q[:200, None] - v[None]) ** 2).sum(2) if metric == "l2" else -np.round((q[:200] @ v.T) / np.linalg.norm(q[:200], axis=1)[:, None] / np.linalg.norm(v, axis=1), 12)
+        assert near.id[:200].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].tolist()
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], "vec_id long, embedding array<double>").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:  # k rows a query and partition, not a batch
+        assert ve._pass(few, np.array([1, 2]), np.array([[1.0, 1.0], [9.0, 1.0]]), 5, "l2").count() == 10
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
