@@ -352,6 +352,15 @@ def test_search_is_bounded_in_memory_and_rows(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_cosines_equal_to_twelve_places_go_by_id(spark):
+    from pagesieve.operators import vectors as ve
+
+    rows = [(i, [(x * f) for x in (0.1, 0.7, 0.3, 0.9, 0.45)]) for i, f in enumerate((3.3, 0.7, 1.9, 7.7, 0.123, 1.0, 11.1, 0.77, 5.3, 2.2))]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ve.knn(v, v, 4, "cosine").orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 3] * 10
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
