@@ -361,6 +361,16 @@ def test_cosines_equal_to_twelve_places_go_by_id(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2, 3] * 10
 
 
+def test_distances_far_from_the_origin_are_exact(spark):
+    from pagesieve.operators import vectors as ve
+
+    x = np.random.default_rng(2).normal(size=(100, 3)) * 0.02 + np.array([1e6, 1e6, -1e6])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ve.knn(v, v, 4, "l2").orderBy("query_id", "rank").collect()
+    want = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1, kind="stable")[:, :4]
+    assert [r["vec_id"] for r in got] == want.reshape(-1).tolist()
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
