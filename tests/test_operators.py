@@ -371,6 +371,20 @@ def test_distances_far_from_the_origin_are_exact(spark):
     assert [r["vec_id"] for r in got] == want.reshape(-1).tolist()
 
 
+def test_every_vector_as_a_query_is_bounded(spark):
+    import tracemalloc
+
+    from pagesieve.operators import vectors as ve
+
+    v = np.random.default_rng(3).normal(size=(6_000, 64)).astype(np.float32).astype(np.float64)
+    near = ve.Nearest(v, 6, "l2")
+    tracemalloc.start()
+    near.see(v, np.arange(6_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and near.id[:, 0].tolist() == list(range(6_000)) and (near.held == 6).all()
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
