@@ -108,7 +108,8 @@ def rank_sql(rounds: int) -> str:
 
 @query("link_pagerank", f"WITH {rank_sql(5)} SELECT node, round(rank, 9) AS rank FROM r5")
 def link_pagerank(spark, d):
-    return gr.pagerank(dense(spark, d).distinct(), keeper("rank"), 5, tolerance=None).select("node", F.round("rank", 9).alias("rank"))
+    e = stored(gr.pairs_of(dense(spark, d)).withColumn("w", F.lit(1)), "dense")
+    return gr.pagerank(e, keeper("rank"), 5, tolerance=None, weights=e).select("node", F.round("rank", 9).alias("rank"))
 
 
 def odd_scores(edges):

@@ -385,6 +385,27 @@ def test_every_vector_as_a_query_is_bounded(spark):
     assert peak < 60e6 and near.id[:, 0].tolist() == list(range(6_000)) and (near.held == 6).all()
 
 
+def test_pagerank_moves_adjacency_rows(spark, monkeypatch):
+    monkeypatch.setattr(gr, "ROW_LINKS", 3)
+    e = [(0, i, 1.0 + i % 2) for i in range(1, 40)] + [(i, 0, 1.0) for i in range(1, 30)] + [(3, 3, 2.0), (0, 5, 1.0)]
+    kept = {}
+
+    def keep(df, k):
+        kept[k] = keeper("t")(df, k)
+        return kept[k]
+
+    got = {r["node"]: r["rank"] for r in gr.pagerank(spark.createDataFrame(e, "src long, dst long, weight double"), keep, 7, tolerance=None).collect()}
+    w = np.zeros((40, 40))
+    for a, b, x in e:
+        w[a, b] += x
+    total, rank = w.sum(1), np.full(40, 1 / 40)
+    for _ in range(7):
+        rank = 0.15 / 40 + 0.85 * ((rank / np.where(total, total, 1) * (total > 0)) @ w + rank[total == 0].sum() / 40)
+    assert len(got) == 40 and all(abs(got[i] - rank[i]) < 1e-12 for i in range(40))
+    rows = kept[-1].collect()  # 69 edges in fewer rows, but none with all links of the hub
+    assert sum(len(r["dst"]) for r in rows) == 69 and len(rows) < 50 and max(len(r["dst"]) for r in rows) < 20
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
