@@ -406,6 +406,33 @@ def test_pagerank_moves_adjacency_rows(spark, monkeypatch):
     assert sum(len(r["dst"]) for r in rows) == 69 and len(rows) < 50 and max(len(r["dst"]) for r in rows) < 20
 
 
+def test_components_move_edges_few_times(spark):
+    names = []
+
+    def keep(df, k):
+        names.append(k)
+        return keeper("t")(df, k)
+
+    rng = np.random.default_rng(4)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + (i * 7) % 31, 100 + ((i + 1) * 7) % 31) for i in range(30)] + [(200, None), (7, 7)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "src long, dst long"), keep).collect()}
+    want = {x: x for a, b in e if b is not None and a != b for x in (a, b)}
+    for _ in range(200):
+        for a, b in e:
+            if b is not None and a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    names.clear()
+    chain = spark.range(0, 500).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert connected_components(chain, keep).where("component <> 0").count() == 0
+    assert sum(k < 1 for k in names) == 3  # edges, least neighbours, and no edge left: jumps move nodes only
+
+
+def test_reciprocity_counts_own_links_as_before(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (2, 1), (3, 3), (3, 1), (4, 2)], "src long, dst long")
+    assert {r["node"]: r["reciprocal_links"] for r in gr.reciprocity(e).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
