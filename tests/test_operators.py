@@ -433,6 +433,13 @@ def test_reciprocity_counts_own_links_as_before(spark):
     assert {r["node"]: r["reciprocal_links"] for r in gr.reciprocity(e).collect()} == {1: 1, 2: 1, 3: 1}
 
 
+def test_distinct_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(gr, "TASK_ROWS", 50)
+    e = spark.range(0, 2000).select((F.col("id") % 40).alias("src"), (F.col("id") % 1000).alias("dst"))
+    assert gr.pairs_of(e).withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0] < 100
+    assert gr.degrees(e).agg(F.sum("out_degree"), F.sum("in_degree"), F.count("*")).first() == (1000, 1000, 1000)
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
