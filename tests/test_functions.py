@@ -61,6 +61,13 @@ def test_simhash_equals_plain_votes(monkeypatch, step):
         assert [int.from_bytes(x.tobytes(), "big") for x in fp.signed_votes([re.findall(r"\w+", t.lower()) for t in texts], bits)] == want
 
 
+def test_words_of_ascii_texts_are_those_of_the_pattern():
+    for t in ("".join(map(chr, range(128))) * 2, "Two_words, 3x-\x1cUP\x00down", "", "K\u212a elvin", "\u00e9t\u00e9 _a1"):
+        assert [w.decode() if isinstance(w, bytes) else w for w in fp.words_of(t)] == fp.TOKEN.findall(t.lower())
+    mixed = [fp.words_of(t) for t in ("same words here", "same words here \u00e9"[:-2], "same words here \u2014")]
+    assert len({bytes(x) for x in fp.signed_votes(mixed, 64)}) == 1
+
+
 def test_simhash_known_values():
     a, b = fp.simhash("This is a short text about gardening."), fp.simhash("Completely different topic concerning astrophysics and math.")
     assert (a, b) == (0x9231E00E032663BD, 0xE009ED3173375A99)

@@ -440,6 +440,13 @@ def test_distinct_edges_are_dealt_by_their_number(spark, monkeypatch):
     assert gr.degrees(e).agg(F.sum("out_degree"), F.sum("in_degree"), F.count("*")).first() == (1000, 1000, 1000)
 
 
+def test_fingerprints_are_made_once(spark):
+    from pagesieve.plans.pages import QUERIES
+    from tests.conftest import SF
+
+    assert "ArrowEvalPython" not in QUERIES["simhash_dedupe"](spark, SF)._jdf.queryExecution().executedPlan().toString()  # written, then read by both sides
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
