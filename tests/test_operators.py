@@ -447,6 +447,19 @@ def test_fingerprints_are_made_once(spark):
     assert "ArrowEvalPython" not in QUERIES["simhash_dedupe"](spark, SF)._jdf.queryExecution().executedPlan().toString()  # written, then read by both sides
 
 
+def test_rounds_send_no_table_through_the_driver(spark):
+    plans = []
+
+    def keep(df, k):
+        out = keeper("t")(df, k)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    e = spark.createDataFrame([(i, i * 7 % 20) for i in range(20)], "src long, dst long")
+    assert gr.pagerank(e, keep, 2, tolerance=None).count() == 20 and connected_components(e, keep).count() == 18
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_pagerank_settles_or_falls_back(spark, tmp_path):
     from pagesieve.operators import graph as gr
     from pagesieve.storage import keeper
