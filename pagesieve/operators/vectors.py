@@ -54,6 +54,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", bloc
     return ranked.where(F.col("rank") <= k)
 
 
+def _moderate(norms: np.ndarray) -> bool:
+    """Whether vectors of these squared lengths can be compared in single precision without overflow or loss."""
+    return bool(((norms > 1e-30) & (norms < 1e30)).all())
+
+
 class Nearest:
     """The k best of each query among the vectors seen so far, by key (small is near) and id."""
 
@@ -67,10 +72,33 @@ class Nearest:
         for at in range(0, len(v), VECTOR_STEP):
             block, ids = v[at : at + VECTOR_STEP], vid[at : at + VECTOR_STEP]
             norm = np.einsum("ij,ij->i", block, block)
+            side = None
+            if _moderate(norm):
+                side = (block * -2 if self.metric == "l2" else -block / np.sqrt(norm)[:, None]).astype(np.float32)
             for a in range(0, len(self.q), QUERY_STEP):
-                self._block(slice(a, min(a + QUERY_STEP, len(self.q))), block, norm, ids)
+                rows = slice(a, min(a + QUERY_STEP, len(self.q)))
+                hit = None if side is None else self._coarse(rows, norm, side)
+                if hit is None or np.count_nonzero(hit) > 4 * self.k * len(hit):
+                    hit = self._fine(rows, block, norm)
+                self._put(rows, block, norm, ids, hit)
+
+    def _coarse(self, rows: slice, vn: np.ndarray, side: np.ndarray) -> np.ndarray | None:
+        """What single precision, with all its error allowed for, can't rule out; for queries that hold k already."""
+        q, qn, cut = self.q[rows], self.norm[rows], self.key[rows, -1]
+        if not (self.held[rows] == self.k).all() or not _moderate(qn):
+            return None
+        error = (q.shape[1] + 16) * 2.0**-23  # of a product, twice what rounding can make, as a share of both squared lengths
+        if self.metric == "l2":
+            near = q.astype(np.float32) @ side.T
+            near += vn.astype(np.float32)
+            cut = cut - qn + 1e-9 + error * (qn + vn.max())
+        else:
+            near = (q / np.sqrt(qn)[:, None]).astype(np.float32) @ side.T
+            cut = cut + 1e-9 + 2 * error
+        with np.errstate(over="ignore"):
+            return near <= cut.astype(np.float32)[:, None]
 
-    def _block(self, rows: slice, v: np.ndarray, vn: np.ndarray, vid: np.ndarray) -> None:
+    def _fine(self, rows: slice, v: np.ndarray, vn: np.ndarray) -> np.ndarray:
         near, qn = self.q[rows] @ v.T, self.norm[rows, None]
         if self.metric == "l2":
             near *= -2
@@ -92,7 +120,12 @@ class Nearest:
             m = min(self.k, near.shape[1])
             cut = np.minimum(cut, np.partition(near, m - 1, axis=1)[:, m - 1] + slack)
             hit = near <= cut[:, None]
-        i, j = np.nonzero(hit)
+        return hit
+
+    def _put(self, rows: slice, v: np.ndarray, vn: np.ndarray, vid: np.ndarray, hit: np.ndarray) -> None:
+        some, qn = np.flatnonzero(hit.any(axis=1)), self.norm[rows, None]
+        i, j = np.nonzero(hit[some])
+        i = some[i]
         if not len(i):
             return
         value = np.empty(len(i))

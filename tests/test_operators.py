@@ -385,6 +385,29 @@ def test_every_vector_as_a_query_is_bounded(spark):
     assert peak < 60e6 and near.id[:, 0].tolist() == list(range(6_000)) and (near.held == 6).all()
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_single_precision_rules_out_but_never_decides(monkeypatch, metric):
+    from pagesieve.operators import vectors as ve
+
+    fine, rng = [], np.random.default_rng(4)
+    whole = ve.Nearest._fine
+    monkeypatch.setattr(ve.Nearest, "_fine", lambda self, rows, v, vn: fine.append(len(v)) or whole(self, rows, v, vn))
+    q = rng.normal(size=(40, 8))
+    v = np.concatenate([rng.normal(size=(6_000, 8)), np.repeat(q, 4, axis=0) + rng.normal(size=(160, 8)) * 1e-9, np.zeros((3, 8)), np.full((2, 8), 1e25)])
+
+    def want(v):
+        with np.errstate(invalid="ignore"):
+            cos = np.nan_to_num(np.einsum("id,jd->ij", q, v) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))), nan=-1.0)
+        d = ((q[:, None] - v[None]) ** 2).sum(2) if metric == "l2" else -np.round(cos, 12)
+        return np.argsort(d, axis=1, kind="stable")[:, :5].tolist()
+
+    near = ve.Nearest(q, 5, metric)
+    near.see(v[:6_000], np.arange(6_000))
+    assert fine == [1024] and near.id.tolist() == want(v[:6_000])  # only the first block, when nothing is held
+    near.see(v[6_000:], np.arange(6_000, len(v)))  # differences far below single precision, and lengths beyond it
+    assert fine == [1024, 165] and near.id.tolist() == want(v)
+
+
 def test_pagerank_moves_adjacency_rows(spark, monkeypatch):
     monkeypatch.setattr(gr, "ROW_LINKS", 3)
     e = [(0, i, 1.0 + i % 2) for i in range(1, 40)] + [(i, 0, 1.0) for i in range(1, 30)] + [(3, 3, 2.0), (0, 5, 1.0)]
